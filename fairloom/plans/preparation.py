@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairloom.operators import hot_keys
+from fairloom.operators import hot_keys, nested
+from fairloom.operators.drift import SchemaDrift
 from fairloom.operators.profile import ColumnProfile, Rule, issues
 
 
@@ -38,6 +39,21 @@ def p5_group(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_p5(spark, d, "e2e_sample", "group"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of each file of both kinds of reports against the one before."""
+    a, b = (SchemaDrift(_table(spark, d, t)).changes() for t in ("detectors", "pipeline_phase0_report"))
+    return a.unionByName(b)
+
+
+def p1_detectors(spark: SparkSession, d: str) -> DataFrame:
+    """All detectors reports in one table."""
+    return SchemaDrift(_table(spark, d, "detectors")).unified(["report_id", "feed_id", "file_id", "file_seq", "record_no"])
+
+
+def p1_phase0(spark: SparkSession, d: str) -> DataFrame:
+    return SchemaDrift(_table(spark, d, "pipeline_phase0_report")).unified(["report_id", "feed_id", "file_id", "file_seq", "record_no"])
+
+
 # What the columns of dev_sample may hold.
 RULES = {"score": Rule(low=0.0, high=1.0), "y_pred": Rule(binary=True), "sensitive": Rule(pattern=r"\A[A-H]([0-9]{3})?\z")}
 
@@ -53,7 +69,23 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return ColumnProfile(_table(spark, d, "dev_sample"), "load_id", RULES).profile()
 
 
-QUERIES = [p2_found, p2_profile, p5_found, p5_sensitive, p5_group]
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items and their slices, each row with its report and item."""
+    rows = nested.link(nested.nodes(_table(spark, d, "detectors")))
+    return rows.select("report_id", "section", "item_no", "slice_no", "attribute", "feature")
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the intervals that link slices to items."""
+    return nested.link(nested.nodes(_table(spark, d, "detectors")))
+
+
+def p3_slice_values(spark: SparkSession, d: str) -> DataFrame:
+    """The scalar values of slices, by the slice's interval."""
+    return nested.values_of(nested.nodes(_table(spark, d, "detectors"), values=True), "slice")
+
+
+QUERIES = [p1_found, p1_detectors, p1_phase0, p2_found, p2_profile, p3_found, p3_links, p3_slice_values, p5_found, p5_sensitive, p5_group]
 
 _P5_FOUND = """select '{t}' as table_name, {k} as key_value from {t} where {k} is not null group by 2
 having count(*) * 20 > (select count(*) from {t} where {k} is not null)"""
