@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairloom.functions.ordered import from_ordered_long, ordered_long
+from fairloom.functions.ordered import from_ordered_long, with_ordered_long
+from fairloom.operators.selection import first_targets, next_targets, same_keys
 from fairloom.session import broadcast_if_small, stage
 
 DIGITS = (20, 16, 14, 14)
@@ -27,7 +28,7 @@ DIGITS = (20, 16, 14, 14)
 
 def percentile_state(df: DataFrame, by: list[str], value: str, bits: int = 20) -> DataFrame:
     """(by, bucket, n, lo, hi): per group and leading bits, the number of values, the least and the greatest."""
-    k = df.select(*by, ordered_long(F.col(value)).alias("k__")).where("k__ is not null")
+    k = with_ordered_long(df.select(*by, F.col(value).alias("v__")), "v__", "k__")
     return k.groupBy(*by, F.shiftright("k__", 64 - bits).alias("bucket")).agg(F.count("*").alias("n"), from_ordered_long(F.min("k__")).alias("lo"), from_ordered_long(F.max("k__")).alias("hi"))
 
 
@@ -38,28 +39,19 @@ def merge_states(state: DataFrame, by: list[str]) -> DataFrame:
 
 def percentiles_of_state(state: DataFrame, by: list[str], points: list[int]) -> DataFrame:
     """(by, p_bp, n, lower, upper): the percentile lies between lower and upper, both of them values that occur."""
-    b = _with_targets(state.withColumnRenamed("n", "c__"), by, points, "bucket")
+    b = first_targets(state.withColumnRenamed("n", "c__"), by, "bucket", points)
     return b.select(*by, F.explode("t__").alias("t"), "n__", "lo", "hi").select(*by, F.col("t.p").alias("p_bp"), F.col("n__").alias("n"), F.col("lo").alias("lower"), F.col("hi").alias("upper"))
 
 
-def _with_targets(hist: DataFrame, by: list[str], points: list[int], order: str) -> DataFrame:
-    """The buckets that hold a target rank, with n__ (the group's size) and t__: the percentiles and their ranks within the bucket."""
-    w = Window.partitionBy(*by)
-    h = hist.withColumn("n__", F.sum("c__").over(w)).withColumn("end__", F.sum("c__").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    rank = lambda p: F.greatest(F.expr(f"(n__ * {p} + 9999) div 10000"), F.lit(1).cast("long"))
-    every = F.array(*[F.struct(F.lit(p).alias("p"), (rank(p) - F.col("end__") + F.col("c__")).alias("r")) for p in points])
-    return h.withColumn("t__", F.filter(every, lambda t: (t["r"] > 0) & (t["r"] <= F.col("c__")))).where(F.size("t__") > 0).drop("end__")
-
-
 def radix_percentiles(df: DataFrame, by: list[str], value: str, points: list[int], digits: tuple[int, ...] = DIGITS) -> DataFrame:
     """(by, p_bp, n, value): the exact percentiles. One pass over the data for each digit that is needed, the later ones only for open buckets."""
     if sum(digits) != 64:
         raise ValueError("digits must add up to 64 bits")
     keys = [f"g{i}__" for i in range(len(by))]
-    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], ordered_long(F.col(value)).alias("k__")).where("k__ is not null")
+    rows = with_ordered_long(df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("v__")), "v__", "k__")
     agg = [F.count("*").alias("c__"), F.min("k__").alias("lo__"), F.max("k__").alias("hi__")]
     left = 64 - digits[0]
-    open_ = stage(_with_targets(rows.groupBy(*keys, F.shiftright("k__", left).alias("d__")).agg(*agg), keys, points, "d__"))
+    open_ = stage(first_targets(rows.groupBy(*keys, F.shiftright("k__", left).alias("d__")).agg(*agg), keys, "d__", points))
     done = []
     for width in digits[1:]:
         done.append(open_.where("lo__ = hi__"))
@@ -68,18 +60,13 @@ def radix_percentiles(df: DataFrame, by: list[str], value: str, points: list[int
         if not n:
             break
         # rows of open buckets only; the next digit's histogram meets the targets again when it is small
-        marks = broadcast_if_small(todo.select(*[F.col(k).alias(f"m_{k}") for k in keys], F.col("e__").alias("m_e__")), n)
+        marks = broadcast_if_small(todo.select(*[F.col(k).alias(f"m_{k}") for k in [*keys, "e__"]]), n)
         r = rows.withColumn("e__", F.shiftright("k__", left))
-        on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys), F.col("e__") == F.col("m_e__"))
         left -= width
-        hist = r.join(marks, on, "left_semi").groupBy(*keys, "e__", F.shiftright("k__", left).alias("d__")).agg(*agg)
-        w = Window.partitionBy(*keys, "e__").orderBy("d__").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("end__", F.sum("c__").over(w))
-        t = todo.select(*[F.col(k).alias(f"m_{k}") for k in keys], F.col("e__").alias("m_e__"), "t__", "n__")
-        on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys), F.col("e__") == F.col("m_e__"))
-        hit = hist.join(t, on).withColumn("t__", F.transform("t__", lambda x: F.struct(x["p"].alias("p"), (x["r"] - F.col("end__") + F.col("c__")).alias("r"))))
-        hit = hit.withColumn("t__", F.filter("t__", lambda x: (x["r"] > 0) & (x["r"] <= F.col("c__")))).where(F.size("t__") > 0)
-        open_ = stage(hit.select(*keys, "d__", "c__", "lo__", "hi__", "n__", "t__"))
+        # marks are distinct; a semi join would be pushed below r's projections and compute k__ again
+        hist = r.join(marks, same_keys([*keys, "e__"])).groupBy(*keys, "e__", F.shiftright("k__", left).alias("d__")).agg(*agg)
+        t = todo.select(*[F.col(k).alias(f"m_{k}") for k in [*keys, "e__"]], "t__", "n__")
+        open_ = stage(next_targets(hist.join(t, same_keys([*keys, "e__"])), [*keys, "e__"], "d__").select(*keys, "d__", "c__", "lo__", "hi__", "n__", "t__"))
     else:
         done.append(open_)
     out = reduce(DataFrame.unionByName, [x.select(*keys, "lo__", "n__", "t__") for x in done])
