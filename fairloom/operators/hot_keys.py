@@ -44,6 +44,8 @@ def key_statistics(df: DataFrame, key: str, value: str, rates: list[str] = (), p
     )
 
     if points:
+        # coalesce keeps Catalyst from pushing "k__ is not null" below the projections that compute it
+        inside = F.coalesce(F.col("k__").between(F.col("lo__"), F.col("hi__")), F.lit(False))
         open_ = first_targets(cells.where("b__ is not null").select("key__", "b__", "c__", "lo__", "hi__"), ["key__"], "b__", list(points)).select("key__", "b__", "lo__", "hi__", "t__")
         open_, done = stage(open_), None
         while True:
@@ -54,7 +56,7 @@ def key_statistics(df: DataFrame, key: str, value: str, rates: list[str] = (), p
             if not n:
                 break
             marks = broadcast_if_small(todo.select(F.col("key__").alias("m_key__"), F.col("b__").alias("m_b__"), "lo__", "hi__"), n)
-            fine = rows.select("key__", "k__", F.shiftright("k__", shift).alias("b__")).join(marks, same_keys(["key__", "b__"]) & (F.col("k__") >= F.col("lo__")) & (F.col("k__") <= F.col("hi__")))
+            fine = rows.select("key__", "k__", F.shiftright("k__", shift).alias("b__")).join(marks, same_keys(["key__", "b__"]) & inside)
             step = F.expr(f"(k__ - lo__) div ((hi__ - lo__) div {steps} + 1)")
             fine = fine.groupBy("key__", "b__", F.col("lo__").alias("from__"), step.alias("d__")).agg(F.count("*").alias("c__"), F.min("k__").alias("lo__"), F.max("k__").alias("hi__"))
             old = todo.select(F.col("key__").alias("m_key__"), F.col("lo__").alias("m_from__"), "t__")
