@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: dict = {}
 _STAGED: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +29,21 @@ def get_spark(app: str = "fairloom", **conf) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per context, so that they need no installation."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("context") is sc:
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():  # else it runs from a zip file that has been sent
+        path = Path(tempfile.mkdtemp(prefix="fairloom-"), "fairloom.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in root.rglob("*.py"):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+    _SHIPPED["context"] = sc
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
