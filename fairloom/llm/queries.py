@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairloom.llm import bpe, packing, percentiles, sampling
+from fairloom.llm import bpe, packing, percentiles, sampling, truncation
 
 POINTS = [100, 500, 1000, 2500, 5000, 7500, 9000, 9500, 9900]
 
@@ -68,8 +68,21 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     return _packing(spark, d).summary()
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose stored text breaks off."""
+    return truncation.Truncation(_table(spark, d, "documents")).judged().where("truncated").select("doc_id")
+
+
+def p9_judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.Truncation(_table(spark, d, "documents")).judged()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.Truncation(_table(spark, d, "documents")).rates()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_percentiles, p4_merged_loads, p4_days, p6_found, p6_sample, p6_report, p7_ids, p8_packed, p8_summary)}
+    return {f.__name__: f for f in (p4_percentiles, p4_merged_loads, p4_days, p6_found, p6_sample, p6_report, p7_ids, p8_packed, p8_summary, p9_found, p9_judged, p9_rates)}
 
 
 _RANKED = """select {key}, score, row_number() over (partition by {key} order by score) as i, count(*) over (partition by {key}) as n
