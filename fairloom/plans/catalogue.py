@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairloom.plans import preparation
+from fairloom.plans import fairness, preparation
 
-MODULES = [preparation]
+MODULES = [preparation, fairness]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
