@@ -160,7 +160,7 @@ def chi2_priority_status(spark: SparkSession, d: str) -> DataFrame:
 t as (select sum(n) as n, count(*) as k, sum(n * m) / sum(n) as mm from g),
 s as (select sum(g.n * (m - mm) ** 2) as b, sum((g.n - 1) * v) as w, max(t.n) as n, max(k) as k from g, t),
 f as (select (b / (k - 1)) / (w / (n - k)) as f, n - k as d2, b / (b + w) as eta2 from s)
-select round(f, 6) as f, d2 as dfw, round(eta2, 10) as eta2, round((d2 / (d2 + 2 * f)) ** (d2 / 2), 8) as pvalue from f""")
+select round(f, 6) as f, cast(d2 as bigint) as dfw, round(eta2, 10) as eta2, round((d2 / (d2 + 2 * f)) ** (d2 / 2), 8) as pvalue from f""")
 def anova_value_status(spark: SparkSession, d: str) -> DataFrame:
     """D2, D5; three groups have a closed p-value."""
     a = association.anova(association.moments(_table(spark, d, "orders"), ["o_totalprice"], ["o_orderstatus"]))
@@ -461,5 +461,24 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     from fairloom.streaming.windows import gaps, windowed_group_sums
 
     e = _table(spark, d, "events").withColumn("y_pred", (F.col("value") > 10).cast("int"))
-    g = gaps(windowed_group_sums(e, "ts", "event_type", "y_pred"), 5).select("window_start", "dpd", "n_groups")
+    g = gaps(windowed_group_sums(e, "ts", "event_type", "y_pred"), 5).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "dpd", "n_groups")
     return _r(g)
+
+
+@query()
+def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream that reads all events once and writes each window when it has closed."""
+    import uuid
+    from pathlib import Path
+
+    from fairloom.session import shared_dir
+    from fairloom.streaming.windows import monitor
+
+    src = Path(d, "events.parquet")
+    schema = _table(spark, d, "events").schema
+    reader = spark.readStream.schema(schema)
+    e = reader.parquet(str(src)) if src.is_dir() else reader.option("pathGlobFilter", src.name).parquet(d)
+    at = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
+    q = monitor(e.withColumn("y_pred", (F.col("value") > 10).cast("int")), "ts", "event_type", "y_pred", f"{at}/out", f"{at}/state", min_group_size=5)
+    q.awaitTermination()
+    return spark.read.schema("window_start timestamp, dpd double, eod double, n_groups long").option("recursiveFileLookup", True).parquet(f"{at}/out")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def windowed_group_sums(stream: DataFrame, ts: str, group: str, y_pred: str, y_true: str | None = None, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(window_start, grp, n, s, n_pos, s_pos, n_neg, s_neg); rows later than the watermark are left out."""
     yt = F.col(y_true).cast("double") if y_true else F.lit(None).cast("double")
-    r = stream.withWatermark(ts, late).select(ts, F.col(group).cast("string").alias("grp"), F.col(y_pred).cast("double").alias("p"), yt.alias("t")).where("grp is not null and p is not null")
+    # a watermark needs a timestamp with zone
+    r = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(ts, F.col(group).cast("string").alias("grp"), F.col(y_pred).cast("double").alias("p"), yt.alias("t")).where("grp is not null and p is not null")
     at = F.window(ts, width, slide) if slide else F.window(ts, width)
     sums = [F.count("*").alias("n"), F.sum("p").alias("s")]
     for v, k in ((1, "pos"), (0, "neg")):

@@ -98,7 +98,8 @@ class GroupFairnessCalibrator:
         m = broadcast_if_small(self.model.withColumnRenamed("m_g", "m_g__"), self.model.count())
         r = r.join(m, same_keys(["g__"]), "left")
         if self.method == "platt":
-            value = sigmoid(clip(F.col("a") * raw + F.col("b"), -500.0, 500.0))
+            # clip skips NULL
+            value = F.when(F.col("a").isNotNull() & raw.isNotNull(), sigmoid(clip(F.col("a") * raw + F.col("b"), -500.0, 500.0)))
             return r.withColumn(out, F.coalesce(value, raw)).drop("g__", "m_g__", "a", "b")
 
         @F.pandas_udf("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +87,6 @@ class Adam:
 
 def score(df: DataFrame, params: list[np.ndarray], features: list[str], out: str = "logit") -> DataFrame:
     """df with the network's logit as a column."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def f(*cols: pd.Series) -> pd.Series:
