@@ -10,8 +10,9 @@ def windowed_group_sums(stream: DataFrame, ts: str, group: str, y_pred: str, y_t
     """(window_start, grp, n, s, n_pos, s_pos, n_neg, s_neg); rows later than the watermark are left out."""
     yt = F.col(y_true).cast("double") if y_true else F.lit(None).cast("double")
     # a watermark needs a timestamp with zone
-    r = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(ts, F.col(group).cast("string").alias("grp"), F.col(y_pred).cast("double").alias("p"), yt.alias("t")).where("grp is not null and p is not null")
-    at = F.window(ts, width, slide) if slide else F.window(ts, width)
+    r = stream.select(F.col(ts).cast("timestamp").alias("at__"), F.col(group).cast("string").alias("grp"), F.col(y_pred).cast("double").alias("p"), yt.alias("t"))
+    r = r.withWatermark("at__", late).where("grp is not null and p is not null")
+    at = F.window("at__", width, slide) if slide else F.window("at__", width)
     sums = [F.count("*").alias("n"), F.sum("p").alias("s")]
     for v, k in ((1, "pos"), (0, "neg")):
         sums += [F.count(F.when(F.col("t") == v, 1)).alias(f"n_{k}"), F.sum(F.when(F.col("t") == v, F.col("p"))).alias(f"s_{k}")]
