@@ -25,7 +25,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words a Python worker remembers before it starts anew, bytes that one DuckDB query takes, and the longest word that goes through DuckDB: each
 #: contraction is one round over all words, so a single run of thousands of characters would cost thousands of rounds. Longer ones use a heap.
-MAX_WORDS, QUERY_BYTES, LONG_WORD = 1_000_000, 4_000_000, 256
+MAX_WORDS, QUERY_BYTES, LONG_WORD = 500_000, 1_000_000, 256
+#: Texts whose ids are put together at a time, which bounds what a batch needs besides its texts and words.
+SLICE = 500
 
 RECURSION = """
 with recursive t(it, wid, pos, tok, npos, ntok) as (
@@ -59,7 +61,7 @@ class Encoder:
             raise ValueError(f"{path}: ids must be below 65536 and cover all single bytes")
         self.find = regex.compile(PATTERN).findall
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         made = np.array([(self.ranks[a], self.ranks[b], r) for t, r in self.ranks.items() if len(t) > 1 for a, b in [self._halves(t, r)]], dtype=np.int64)
         self.con.register("made", pa.table({"k": made[:, 0] * 65536 + made[:, 1], "r": made[:, 2].astype(np.int32)}))
         self.con.execute("create table merges as select * from made")
@@ -137,37 +139,33 @@ class Encoder:
         starts[order] = np.cumsum(n) - n + len(self.flat)
         self.start, self.length, self.flat = np.append(self.start, starts), np.append(self.length, counts), np.concatenate([self.flat, *chunks])
 
-    def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of words of each text, and the words of all texts as places in start and length."""
+    def codes(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The words of each text, as places in start and length."""
         if len(self.code) > MAX_WORDS:
             self.forget()
-        per, out, new = np.zeros(len(texts), np.int64), [], []
+        out, new = [], []
         code = self.code
-        for i, x in enumerate(texts):
-            if x:
-                words = self.find(x)
-                per[i] = len(words)
-                for w in words:
-                    if w not in code:
-                        code[w] = len(code)
-                        new.append(w)
-                out.append(np.fromiter(map(code.__getitem__, words), np.int64, len(words)))
+        for x in texts:
+            words = self.find(x) if x else []
+            for w in words:
+                if w not in code:
+                    code[w] = len(code)
+                    new.append(w)
+            out.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
         if new:
             self._learn(new)
-        return per, np.concatenate(out) if out else np.zeros(0, np.int64)
+        return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and all ids one after the other."""
-        per, c = self.codes(texts)
+        c = np.concatenate(codes) if codes else np.zeros(0, np.int32)
         n = self.length[c]
         ends = np.concatenate([[0], np.cumsum(n)])
         flat = self.flat[np.repeat(self.start[c] - ends[:-1], n) + np.arange(ends[-1])]
-        return ends[np.concatenate([[0], np.cumsum(per)])], flat
+        return ends[np.concatenate([[0], np.cumsum([len(x) for x in codes])]).astype(np.int64)], flat
 
-    def count(self, texts: list[str | None]) -> np.ndarray:
-        per, c = self.codes(texts)
-        ends = np.concatenate([[0], np.cumsum(self.length[c])])
-        return np.diff(ends[np.concatenate([[0], np.cumsum(per)])])
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        return self.gather(self.codes(texts))
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +181,9 @@ def _over(df: DataFrame, id_col: str, text_col: str, out: str, vocabulary: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), make(enc, b.column(1).to_pylist())], [id_col, out])
+            codes = enc.codes(b.column(1).to_pylist())
+            for i in range(0, len(codes), SLICE):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, SLICE), make(enc, codes[i : i + SLICE])], [id_col, out])
 
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(out, kind)])
     return picked.mapInArrow(run, schema)
@@ -192,8 +192,8 @@ def _over(df: DataFrame, id_col: str, text_col: str, out: str, vocabulary: str,
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id_col, out): out is the list of ids of the text. Results as in the module's docstring."""
 
-    def make(enc: Encoder, texts: list) -> pa.Array:
-        ends, flat = enc.encode(texts)
+    def make(enc: Encoder, codes: list[np.ndarray]) -> pa.Array:
+        ends, flat = enc.gather(codes)
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
     return _over(df, id_col, text_col, out, vocabulary, T.ArrayType(T.IntegerType()), make)
@@ -201,4 +201,4 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id_col, out): the number of ids that encode_corpus gives; 0 for NULL and empty texts."""
-    return _over(df, id_col, text_col, out, vocabulary, T.LongType(), lambda enc, texts: pa.array(enc.count(texts)))
+    return _over(df, id_col, text_col, out, vocabulary, T.LongType(), lambda enc, codes: pa.array([int(enc.length[c].sum()) for c in codes], pa.int64()))
