@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from fairloom.operators.detectors import BiasReport, run_detectors
 from fairloom.operators.mitigation import DisparateImpactRemover, InstanceReweighting, ProxyDropper, ReweighingTransformer
 
-PROFILE_VARIABLE = "FPDT_PROFILE"
+PROFILE_VARIABLE = "FAIRLOOM_PROFILE"
 TRANSFORMERS = {c.__name__: c for c in (InstanceReweighting, ReweighingTransformer, DisparateImpactRemover, ProxyDropper)}
 # Names of older configurations.
 ALIASES = {"disparate_impact": "DisparateImpactRemover", "reweighing": "ReweighingTransformer", "instance_reweighting": "InstanceReweighting", "proxy_dropper": "ProxyDropper"}
