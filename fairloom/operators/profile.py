@@ -80,8 +80,8 @@ class ColumnProfile:
         v = v.withColumn("fits__", conforms).withColumn("good__", good)
         all_, fit = v.agg(F.sum("c__"), F.sum(F.when(F.col("fits__"), F.col("c__")))).first()
         odd = F.sum(F.when(~F.col("fits__"), F.col("c__")).otherwise(0))
-        # what no expression covers, and of that what the exact rule, if there is one, refuses too
-        bad = F.sum(F.when(~F.col("fits__") & ~F.col("good__"), F.col("c__")).otherwise(0))
+        # what the exact rule refuses, also where it is common enough for an expression; without a rule what no expression covers
+        bad = F.sum(F.when(~F.col("good__"), F.col("c__")).otherwise(0))
         out = v.groupBy("load__").agg(odd.alias("odd"), bad.alias("malformed"), (1 - odd / F.sum("c__")).alias("coverage"), F.sum(F.when(F.col("good__"), F.col("c__"))).alias("good__"))
         out = out.withColumn("coverage_table", F.lit((fit or 0) / all_ if all_ else None).cast("double"))
         well = v.where("good__").select("load__", "v__", "c__")

@@ -107,6 +107,14 @@ def test_profile_issues(spark):
     assert got == want
 
 
+def test_common_malformed_codes_stay_malformed(spark):
+    rows = [(i % 6, "a123" if i % 6 == 2 and i % 5 == 0 else "AB"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "load long, code string")
+    assert len(column_expressions(df.groupBy("code").count(), "code", "count")) == 2  # the malformed shape has an expression
+    got = {r["load"]: r for r in ColumnProfile(df, "load", {"code": RULES["code"]}, ["code"]).profile().collect()}
+    assert {k: (r["pattern"], r["n_malformed"], r["n_odd"]) for k, r in got.items()} == {k: (k == 2, 100 * (k == 2), 0) for k in range(6)}
+
+
 def test_gap_bounds_hold_the_exact_gap(spark):
     rng = np.random.default_rng(4)
     rows = [(i % 30, float(np.round(rng.beta(2, 2 + (i % 30) / 12), int(rng.integers(1, 6))))) for i in range(6000)] + [(99, 0.5)] * 300 + [(None, 0.1), (None, 1.0)]
