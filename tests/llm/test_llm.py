@@ -218,6 +218,19 @@ def test_truncated_texts(spark):
     assert rates[None]["documents"] == len([i for i in CASES if i % 2 == 0]) and rates["t"]["truncated"] == 0
 
 
+def _judged(spark, rows) -> dict:
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    return {r["doc_id"]: r["how"] for r in truncation.Truncation(df).judged().collect()}
+
+
+def test_cut_last_lines_do_not_vouch_for_each_other(spark):
+    filler = [(100 + i, _mail(i + 10, 3)) for i in range(60)]
+    cut = [(i, f"Hello {i},\n\nall is well on floor {i}.\n\nTh") for i in range(4)]  # 180 longer lines begin so
+    short = [(20 + i, f"Hello {i},\n\nwe saw floor {i}.\n\nBest,\nAnna") for i in range(4)]
+    got = _judged(spark, filler + cut + short)
+    assert {got[i] for i, _ in cut} == {"word"} and {got[i] for i, _ in filler + short} == {"whole"}
+
+
 def test_near_copy_shows_the_cut(spark):
     long = _mail(1, 12)
     cut = long[: long.index("Anna") + 4]
