@@ -244,6 +244,16 @@ def test_near_copy_shows_the_cut(spark):
     assert truncation.Truncation(spark.createDataFrame([], "doc_id long, text string, source string")).judged().count() == 0
 
 
+def test_copies_are_found_behind_the_longest_of_a_bucket(spark):
+    long = _mail(1, 12)
+    at = long.rindex("stairs") + 3
+    hubs = [(10 + k, long + " " + " ".join(f"own{k}x{i}" for i in range(110)), "a") for k in range(60)]  # longest in all buckets, but not similar
+    rows = [*hubs, (1, long, "a"), (2, long[:at], "b"), (6, "so it goes on and on in this text until the very last wor", "a"), (7, "so it goes on and on in this text until the very last word", "a")]
+    t = truncation.Truncation(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    c = {r["id"]: r["copy_cut"] for r in t._copies(t.docs.select("id")).collect()}
+    assert c[2] is True and c[6] is True and not c.get(7) and not c.get(1)
+
+
 def test_signatures_find_similar_texts():
     rng = np.random.default_rng(0)
     pool = [f"w{i}" for i in range(500)]
