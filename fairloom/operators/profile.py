@@ -51,6 +51,18 @@ def _missing(df: DataFrame, c: str) -> Column:
     return col.isNull() | F.isnan(col) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else col.isNull()
 
 
+def _number(df: DataFrame, c: str) -> Column | None:
+    """The column as a double that grows with it; None for kinds without an order on a line."""
+    col, kind = F.col(f"`{c}`"), df.schema[c].dataType
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.TimestampType)):
+        return col.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(kind, T.TimestampNTZType):  # as if in UTC: a zone's clock changes would break the order
+        return (F.unix_date(col.cast("date")) * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)).cast("double")
+    return None
+
+
 class ColumnProfile:
     def __init__(self, df: DataFrame, load: str, rules: dict[str, Rule], columns: list[str] | None = None, limits: Limits = Limits()):
         self.df, self.load, self.rules, self.limits = df, load, rules, limits
@@ -99,13 +111,21 @@ class ColumnProfile:
         return out.join(gap, same_keys(["load__"]), "left").select("load__", "odd", "malformed", "coverage", "coverage_table", "shift")
 
     def _gaps(self, c: str, rule: Rule) -> DataFrame:
-        """(load__, shift, shift_most): bounds of the gap between the load's and the table's distribution of values in range."""
-        x = F.col(f"`{c}`").cast("double")
-        rows = self.df.where(~_missing(self.df, c) & (x >= rule.low) & (x <= rule.high)).select(self.key, x.alias("x__"))
-        cell = F.floor((F.col("x__") - rule.low) / (rule.high - rule.low) * CELLS).cast("int")
-        rows = rows.withColumn("cell__", cell)
+        """(load__, shift, shift_most): bounds of the gap between the load's and the table's distribution of values in range, without a
+        rule of finite ones. The grid then spans the middle of the table, so that a few values far off don't make it coarse."""
+        x, low, high = _number(self.df, c), rule.low, rule.high
+        if low is None:
+            inside = ~_missing(self.df, c) & (F.abs(x) < float("inf"))
+            ends = self.df.where(inside).agg(F.percentile_approx(x, [0.02, 0.98], 1000)).first()[0]
+            low, high = ends or (0.0, 0.0)
+        else:
+            inside = ~_missing(self.df, c) & (x >= low) & (x <= high)
+        # halves, as the whole width may be no finite number
+        width = high / 2 - low / 2
+        cell = F.when(x < low, -1).when(x > high, CELLS + 1).otherwise(F.floor((x / 2 - low / 2) / width * CELLS) if width else 0).cast("int")
+        rows = self.df.where(inside).select(self.key, F.col(f"`{c}`").alias("x__"), cell.alias("cell__"))
         per = stage(rows.groupBy("load__", "cell__").agg(F.count("*").alias("c__")))
-        table = [tuple(r) for r in per.groupBy("cell__").agg(F.sum("c__")).orderBy("cell__").collect()]  # at most CELLS + 1 rows
+        table = [tuple(r) for r in per.groupBy("cell__").agg(F.sum("c__")).orderBy("cell__").collect()]  # at most CELLS + 3 rows
         n, before, cum = sum(k for _, k in table), [], 0
         for i, k in table:
             before.append((i, cum, cum + k))
@@ -152,7 +172,7 @@ class ColumnProfile:
                     ones, bits = basics.agg(F.sum(f"ones{i}"), F.sum(f"bits{i}")).first()
                     gap = F.abs(F.try_divide(f"ones{i}", f"bits{i}") - F.lit((ones or 0) / (bits or 1)))
                     b = b.withColumn("shift", gap).withColumn("shift_most", gap)
-                elif rule.low is not None:
+                elif _number(self.df, c) is not None:
                     b = b.join(self._gaps(c, rule).withColumnRenamed("load__", "m_load__"), same_keys(["load__"]), "left")
                 else:
                     b = b.withColumns({"shift": none, "shift_most": none})

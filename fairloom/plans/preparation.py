@@ -55,12 +55,12 @@ def p1_phase0(spark: SparkSession, d: str) -> DataFrame:
 
 
 # What the columns of dev_sample may hold.
-RULES = {"score": Rule(low=0.0, high=1.0), "y_pred": Rule(binary=True), "sensitive": Rule(pattern=r"\A[A-H]([0-9]{3})?\z")}
+RULES = {"score": Rule(low=0.0, high=1.0), "y_true": Rule(binary=True), "y_pred": Rule(binary=True), "sensitive": Rule(pattern=r"\A[A-H]([0-9]{3})?\z")}
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Issues of y_pred, score and sensitive, by load."""
-    p = ColumnProfile(_table(spark, d, "dev_sample"), "load_id", RULES, list(RULES)).profile()
+    p = ColumnProfile(_table(spark, d, "dev_sample"), "load_id", RULES, ["score", "y_pred", "sensitive"]).profile()
     return issues(p, "load_id")
 
 

@@ -115,6 +115,13 @@ def test_common_malformed_codes_stay_malformed(spark):
     assert {k: (r["pattern"], r["n_malformed"], r["n_odd"]) for k, r in got.items()} == {k: (k == 2, 100 * (k == 2), 0) for k in range(6)}
 
 
+def test_profile_of_y_true(spark):
+    from fairloom.plans.preparation import p2_profile
+
+    got = p2_profile(spark, "/root/testdata/sf0.001").where("n_missing < n_rows").collect()
+    assert len({r["column_name"] for r in got}) == 8 and all(r["shift"] is not None for r in got if r["column_name"] in ("y_true", "rec_id", "scored_at", "loaded_at"))
+
+
 def test_gap_bounds_hold_the_exact_gap(spark):
     rng = np.random.default_rng(4)
     rows = [(i % 30, float(np.round(rng.beta(2, 2 + (i % 30) / 12), int(rng.integers(1, 6))))) for i in range(6000)] + [(99, 0.5)] * 300 + [(None, 0.1), (None, 1.0)]
