@@ -231,46 +231,79 @@ def test_cut_last_lines_do_not_vouch_for_each_other(spark):
     assert {got[i] for i, _ in cut} == {"word"} and {got[i] for i, _ in filler + short} == {"whole"}
 
 
+def _copies(spark, rows) -> dict:
+    t = truncation.Truncation(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string"))
+    return {r["id"]: r["copy_cut"] for r in t.copies().collect()}
+
+
 def test_near_copy_shows_the_cut(spark):
     long = _mail(1, 12)
     cut = long[: long.index("Anna") + 4]
     at = long.rindex("stairs") - 5
-    rows = [(1, long, "a"), (2, long[:at], "b"), (3, "Fwd:\n\n" + long, "a")] + [(10 + i, _mail(i + 20), "a") for i in range(10)]
-    t = truncation.Truncation(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    c = {r["id"]: r["copy_cut"] for r in t._copies(t.docs.select("id")).collect()}
+    c = _copies(spark, [(1, long), (2, long[:at]), (3, "Fwd:\n\n" + long)] + [(10 + i, _mail(i + 20)) for i in range(10)])
     assert c[2] is True and 1 not in {k for k, v in c.items() if v}
-    assert truncation.aligned_end(long[:at], long) == "cut" and truncation.aligned_end(cut, long) == ""
+    assert truncation.aligned_end(long[:at], long) == "cut" and truncation.aligned_end(cut, long) == "cut" and truncation.aligned_end(_mail(2), long) == ""
     assert truncation.aligned_end(long, long + "\n\n_____\nlist footer") == "end"
     assert truncation.Truncation(spark.createDataFrame([], "doc_id long, text string, source string")).judged().count() == 0
 
 
-def test_copies_are_found_behind_the_longest_of_a_bucket(spark):
+def test_copies_are_found_behind_others_of_a_bucket(spark):
     long = _mail(1, 12)
     at = long.rindex("stairs") + 3
-    hubs = [(10 + k, long + " " + " ".join(f"own{k}x{i}" for i in range(110)), "a") for k in range(60)]  # longest in all buckets, but not similar
-    rows = [*hubs, (1, long, "a"), (2, long[:at], "b"), (6, "so it goes on and on in this text until the very last wor", "a"), (7, "so it goes on and on in this text until the very last word", "a")]
-    t = truncation.Truncation(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    c = {r["id"]: r["copy_cut"] for r in t._copies(t.docs.select("id")).collect()}
-    assert c[2] is True and c[6] is True and not c.get(7) and not c.get(1)
-
-
-def test_signatures_find_similar_texts():
+    hubs = [(10 + k, long + " " + " ".join(f"own{k}x{i}" for i in range(110))) for k in range(60)]  # longest in all buckets
+    c = _copies(spark, [*hubs, (1, long), (2, long[:at]), (6, "so it goes on and on in this text until the very last wor"), (7, "so it goes on and on in this text until the very last word")])
+    assert c[2] is True and c[6] is True and not c.get(7)
+
+
+@pytest.mark.parametrize("lost", [0.05, 0.2, 0.4, 0.6])
+def test_planted_copies_are_found_through_judged(spark, lost):
+    rng = np.random.default_rng(int(lost * 100))
+    pool = [f"{a}{b}" for a in ("ka", "lo", "mi", "re", "su", "ta") for b in ("bel", "dor", "fin", "gas", "hul", "jen", "kor")]
+    whole = [(i, " ".join(rng.choice(pool, int(rng.integers(150, 300)))) + ".") for i in range(150)]
+    planted = []
+    for i, t in whole:
+        words = t[: int(len(t) * (1 - lost))].split(" ")
+        words[int(rng.integers(len(words) // 2))] = "edited"  # a near-copy of similarity above 0.8, no equal beginning
+        planted.append((1000 + i, " ".join(words)))
+    got = _judged(spark, whole + planted)
+    assert sum(got[i] == "copy" for i, _ in planted) >= 0.9 * len(planted) and not any(got[i] == "copy" for i, _ in whole)
+
+
+def test_one_beginning_of_many_texts_is_no_square(spark):
+    same = " ".join(f"w{i}" for i in range(60))
+    words = lambda i, n: same + "".join(f" own{i % 1000}x{k}" for k in range(n))
+    rows = [(i, words(i, 12)) for i in range(400)] + [(1000 + i, words(i, 6)) for i in range(40)]
+    c = _copies(spark, rows)
+    assert all(c.get(1000 + i) for i in range(40)) and not any(c.get(i) for i in range(400))
+
+
+def test_signatures_find_beginnings():
     rng = np.random.default_rng(0)
     pool = [f"w{i}" for i in range(500)]
     a = list(rng.choice(pool, 300))
-    b = a[:290]
-    texts = [a, b, a, list(rng.choice(pool, 300)), ["one"], [""]]
-    keys, body, head = truncation.signatures(texts, {})
-    assert (keys[0] == keys[1]).sum() >= 6 and (keys[0] == keys[3]).sum() == 0
-    assert body[0] == body[2] and len(set(body.tolist())) == 5 and head[0] == head[1] != head[3]
-    again = truncation.signatures(texts[::-1], {})[0][::-1]
-    assert (keys == again).all()
+    texts = [a, a[:200], a, list(rng.choice(pool, 300)), ["one"], [], a[:6]]
+    depth, keys, body = truncation.signatures(texts, {})
+    assert depth.tolist() == [6, 6, 6, 6, 0, 0, 1]
+    at = np.cumsum(depth * truncation.BANDS)
+    of = lambda i: keys[at[i] - depth[i] * truncation.BANDS : at[i]].tolist()
+    assert of(0) == of(1) == of(2) and not set(of(0)) & set(of(3)) and of(6) == of(0)[: truncation.BANDS]
+    assert body[0] == body[2] and len(set(body.tolist())) == 6
+    back = truncation.signatures(texts[::-1], {})
+    assert back[0].tolist() == depth.tolist()[::-1] and set(back[1].tolist()) == set(keys.tolist())
 
 
 def test_endings():
-    assert endings.analyse("See you.")[0] == "whole" and endings.analyse("All is well. I will be the")[0] == "cut"
-    assert endings.analyse("x\n" * 3 + "   (ref 0123456789abcdef)")[0] == "whole"
-    assert endings.analyse(HEAD)[0] == "cut" and endings.analyse(HEAD + "\n")[0] == "whole"
+    end = lambda t: endings.closing(endings.body_lines(t, endings.header_end(t)))
+    assert end("All is well. I will be the") == ("s", "a", "the", "", False) and end("See you.")[:3] == ("h", ".", "you.")
+    assert end("one two three four five six seven eight ")[:3] == ("l", "_", "eight") and end("- a point")[0] == "b" and end("so it is, and wha...")[2:] == ("wha", "\nso it is, and wha...", True)
+    long = "This line is long enough to be a wrapped one of many"
+    assert end(long + "\nand so")[0] == "w" and end(long + "\n   (ref 0123456789abcdef)")[:2] == ("h", ")") and end("お疲れさまです。資料を送りま")[:3] == ("j", "a", "りま")
+    left = lambda t: endings.structure(t, endings.header_end(t))[1]
+    assert left(HEAD) == "header" and left(HEAD + "\n") == "" and left("<html><p>x") == "html" and left("<html>x</html>") == "closed"
+    u = endings.Uses()
+    u.add(endings.body_lines("Best,\nAnna\n\nBest,\nAnn", 0), False)
+    got = {r[0]: r[1:] for r in u.take()}
+    assert got["Best,"] == (2, 0, 2) and got["Anna"] == (1, 0, 1) and got["\nBest,"] == (2, 0, 0) and "Ann" not in got
 
 
 def test_found_queries(spark):
