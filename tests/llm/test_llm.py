@@ -282,11 +282,12 @@ def test_signatures_find_beginnings():
     pool = [f"w{i}" for i in range(500)]
     a = list(rng.choice(pool, 300))
     texts = [a, a[:200], a, list(rng.choice(pool, 300)), ["one"], [], a[:6]]
-    depth, keys, body = truncation.signatures(texts, {})
-    assert depth.tolist() == [6, 6, 6, 6, 0, 0, 1]
-    at = np.cumsum(depth * truncation.BANDS)
-    of = lambda i: keys[at[i] - depth[i] * truncation.BANDS : at[i]].tolist()
-    assert of(0) == of(1) == of(2) and not set(of(0)) & set(of(3)) and of(6) == of(0)[: truncation.BANDS]
+    depth, keys, body, tail = truncation.signatures(texts, {})
+    assert depth.tolist() == [6, 6, 6, 6, 0, 0, 1] and tail[0] == tail[2] != tail[1]
+    size = [min(d, truncation.WHOLE) + max(d - truncation.WHOLE, 0) * truncation.BANDS for d in depth.tolist()]
+    at = np.cumsum(size)
+    of = lambda i: keys[at[i] - size[i] : at[i]].tolist()
+    assert of(0) == of(1) == of(2) and not set(of(0)) & set(of(3)) and of(6) == of(0)[:1]
     assert body[0] == body[2] and len(set(body.tolist())) == 6
     back = truncation.signatures(texts[::-1], {})
     assert back[0].tolist() == depth.tolist()[::-1] and set(back[1].tolist()) == set(keys.tolist())
