@@ -1,8 +1,12 @@
 """Regular expressions of a text column by minimum description length.
 
-Values become shapes (upper-case letter, lower-case letter, digit, or the character itself, position by position). A shape is worth an expression if
-writing the expression down and coding its values by it takes fewer bits than spelling them out. The counts of all distinct values enter, scaled to
-the same total weight, so that the same share of noise gives the same expression at every size of the table.
+Values become shapes: a letter or digit is known by its class (upper case, lower case, digit), other characters stand for themselves; values of more than
+LONGEST characters by runs of a class. A shape is worth an expression if stating it and coding its values by it takes fewer bits than spelling them
+out. Each class then has one alphabet for the whole column, in all expressions: the characters, among the values of these shapes, whose place
+in it takes fewer bits than spelling out the values that need them. The counts of all distinct values enter, scaled to the same total weight, so
+that the same share of noise gives the same expressions at every size of the table.
+
+Defined results: values whose runs are more than RUNS (free text) have no shape and no expression; the empty value is a shape; no values, no expressions.
 """
 
 from __future__ import annotations
@@ -16,98 +20,102 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows a column's evidence is scaled to, longest value that can get an expression, bits of a spelt-out character and of saying that a value is spelt out.
-WEIGHT, LONGEST, CHAR_BITS, EXTRA_BITS = 1000, 24, 8, 7
-#: Bits of stating one more expression, besides its places: habits of well under one row in a hundred do not pay for one.
-STATE_BITS = 128.0
-#: A shape with less than this part of one scaled row cannot pay for an expression: at most 10 * WEIGHT shapes reach the driver.
+#: Rows a column's evidence is scaled to; characters and runs a shape is known by; bits of a spelt-out character, of saying that a value is spelt out, and of a run's length.
+WEIGHT, LONGEST, RUNS, CHAR_BITS, EXTRA_BITS, RUN_BITS = 1000, 24, 48, 8, 7, 5
+#: Bits of stating one more expression, besides its places, and a character of an alphabet.
+STATE_BITS, LETTER_BITS = 128.0, 6.0
+#: A shape with less than this part of one scaled row cannot pay for an expression: at most WEIGHT / LEAST shapes reach the driver.
 LEAST = 0.1
+# The classes, their characters and size.
 _CLASSES = {"U": ("A-Z", 26), "l": ("a-z", 26), "D": ("0-9", 10)}
+_PLACE = re.compile(r"\\[UlD]\+?|[\s\S]")
+
 
+def _class(c: str) -> str:
+    return "U" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "D" if "0" <= c <= "9" else ""
 
-def _shape(v: str) -> str:
-    return "".join("U" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "D" if "0" <= c <= "9" else "=" for c in v)
+
+def _shape(v: str) -> str | None:
+    kinds = [(f"\\{k}" if (k := _class(c)) else c) for c in v]
+    if len(v) > LONGEST:
+        runs: list[str] = []
+        for k in kinds:
+            if len(k) == 1 or not runs or runs[-1] != k + "+":
+                runs.append(k if len(k) == 1 else k + "+")
+                if len(runs) > RUNS:
+                    return None
+        kinds = runs
+    return "".join(kinds)
 
 
 def shape_counts(values: DataFrame, value: str, n: str) -> DataFrame:
-    """(shape, at, ch, n): rows with each character at each place of each shape; values has distinct values with their row counts n."""
+    """(shape, ch, n): rows of each shape (ch is ''), and how often its values hold each letter and digit; values has distinct values with their row counts n."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             c: Counter = Counter()
             for v, k in zip(p["v"], p["n"]):
-                if v is None or len(v) > LONGEST:
-                    continue
-                s = _shape(v)
-                # other characters belong to the shape as they are
-                s = "".join(ch if x == "=" else f"\\{x}" for x, ch in zip(s, v))
-                c[s, -1, ""] += k
-                for i, ch in enumerate(v):
-                    c[s, i, ch] += k
-            yield pd.DataFrame([(*k, x) for k, x in c.items()], columns=["shape", "at", "ch", "n"])
-
-    rows = values.select(F.col(value).alias("v"), F.col(n).alias("n")).mapInPandas(run, "shape string, at int, ch string, n long")
-    return rows.groupBy("shape", "at", "ch").agg(F.sum("n").alias("n"))
-
-
-def _alphabet(counts: Counter, kind: str, scale: float) -> tuple[str, float, float, float]:
-    """The set for one place of a letter or digit: its expression, share of rows within, bits per row, bits to state it."""
-    name, full = _CLASSES[kind]
+                s = None if v is None else _shape(v)
+                if s is not None:
+                    c[s, ""] += k
+                    for ch, m in Counter(v).items():
+                        if _class(ch):
+                            c[s, ch] += k * m
+            yield pd.DataFrame([(*k, x) for k, x in c.items()], columns=["shape", "ch", "n"])
+
+    rows = values.select(F.col(value).alias("v"), F.col(n).alias("n")).mapInPandas(run, "shape string, ch string, n long")
+    return rows.groupBy("shape", "ch").agg(F.sum("n").alias("n"))
+
+
+def _alphabet(counts: Counter, spelt: float) -> str:
+    """The characters that pay for their place: counts in scaled rows; spelt: bits a value costs more when it is spelt out."""
     total = sum(counts.values())
-    chars = sorted(counts)
-    out = CHAR_BITS + EXTRA_BITS
-    best = (scale * total * log2(full) + 2, f"[{name}]", 1.0, log2(full), 2.0)
-    spell = lambda i, j: f"[{re.escape(chars[i])}-{re.escape(chars[j])}]" if i < j else re.escape(chars[i])
-    for i in range(len(chars)):
-        inside = 0
-        for j in range(i, len(chars)):
-            inside += counts[chars[j]]
-            size = ord(chars[j]) - ord(chars[i]) + 1
-            state = 2 + 2 * log2(full)
-            cost = scale * (inside * log2(size) + (total - inside) * out) + state
-            best = min(best, (cost, spell(i, j), inside / total, log2(size), state))
-    some: list[str] = []
-    inside = 0
-    for ch, n in counts.most_common():
-        some.append(ch)
-        inside += n
-        state = 2 + len(some) * log2(full)
-        cost = scale * (inside * log2(len(some)) + (total - inside) * out) + state
-        best = min(best, (cost, f"[{''.join(map(re.escape, sorted(some)))}]" if len(some) > 1 else re.escape(ch), inside / total, log2(len(some)), state))
-    return best[1:]
-
-
-def induce(counts: list[tuple[str, int, str, int]], total: int) -> list[tuple[str, int]]:
+    kept = [c for c, n in counts.items() if n * (spelt - log2(total / n) - 1 / 0.693) > LETTER_BITS]
+    out, chars = [], sorted(kept)
+    while chars:
+        j = 1
+        while j < len(chars) and ord(chars[j]) == ord(chars[j - 1]) + 1:
+            j += 1
+        out.append(chars[0] if j == 1 else f"{chars[0]}{'-' if j > 2 else ''}{chars[j - 1]}")
+        chars = chars[j:]
+    text = "".join(out)
+    return text if len(text) == 1 else f"[{text}]"
+
+
+def induce(counts: list[tuple[str, str, int]], total: int) -> list[tuple[str, int]]:
     """(expression, rows of its shape) worth their bits, most rows first; counts are rows of shape_counts, total all non-NULL rows."""
-    places: dict[str, dict[int, Counter]] = {}
-    size: dict[str, int] = {}
-    for shape, at, ch, n in counts:
-        if at < 0:
-            size[shape] = n
-        else:
-            places.setdefault(shape, {}).setdefault(at, Counter())[ch] += n
+    size = {s: n for s, ch, n in counts if not ch}
+    held: dict[str, Counter] = {}
+    for s, ch, n in counts:
+        if ch:
+            held.setdefault(s, Counter())[ch] += n
+    kept: dict[str, float] = {}
+    for s, n in size.items():
+        weight, places = WEIGHT * n / total, _PLACE.findall(s)
+        mean = (sum(held.get(s, {}).values()) / n) + sum(len(p) == 1 for p in places)  # characters of a value
+        bits = sum(k * log2(_CLASSES[_class(ch)][1]) for ch, k in held.get(s, {}).items()) / n + sum(RUN_BITS for p in places if p.endswith("+") and len(p) == 3)
+        # a long value speaks for its shape no louder than one of LONGEST characters, or a single one would pay for an expression
+        fair = min(1.0, LONGEST / max(mean, 1))
+        spelt, bits = CHAR_BITS * (mean * fair + 1) + EXTRA_BITS, bits * fair
+        state = STATE_BITS + sum((CHAR_BITS if len(p) == 1 else 2) + (2 if p == q else 4) for p, q in zip(places, ["", *places]))
+        if weight >= LEAST and weight * (spelt - bits - log2(max(WEIGHT / weight, 1))) > state:
+            kept[s] = spelt - bits
+    pool: dict[str, Counter] = {k: Counter() for k in _CLASSES}
+    for s in kept:
+        for ch, n in held.get(s, {}).items():
+            pool[_class(ch)][ch] += n * WEIGHT / total
+    dearest = max(kept.values(), default=0.0)
+    sets = {k: _alphabet(c, dearest) if c else "" for k, c in pool.items()}
     out = []
-    for shape, n in size.items():
-        scale, weight = WEIGHT / total, WEIGHT * n / total
-        if weight < LEAST:
-            continue
-        kinds = re.findall(r"\\[UlD]|[\s\S]", shape)
-        parts, share, bits, state = [], 1.0, 0.0, STATE_BITS
-        for i, k in enumerate(kinds):
-            if len(k) == 2:
-                text, part, b, s = _alphabet(places[shape][i], k[1], scale)
-            else:
-                text, part, b, s = re.escape(k), 1.0, 0.0, CHAR_BITS
-            repeat = bool(parts) and parts[-1][0] == text
-            share, bits, state = share * part, bits + b, state + (2 if repeat else 4 + s)
-            if repeat:
+    for s in kept:
+        parts: list[list] = []
+        for p in _PLACE.findall(s):
+            text = re.escape(p) if len(p) == 1 else sets[p[1]] + p[2:]
+            if parts and parts[-1][0] == text and not text.endswith("+"):
                 parts[-1][1] += 1
             else:
                 parts.append([text, 1])
-        inside = weight * share
-        spelt = CHAR_BITS * (len(kinds) + 1) + EXTRA_BITS
-        if inside > 0 and inside * (spelt - bits - log2(max(WEIGHT / inside, 1))) > state:
-            out.append(("".join(t if k == 1 else f"{t}{{{k}}}" for t, k in parts), n))
+        out.append(("".join(t if k == 1 else f"{t}{{{k}}}" for t, k in parts), size[s]))
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
@@ -117,8 +125,8 @@ def column_expressions(values: DataFrame, value: str, n: str) -> list[str]:
     if not total:
         return []
     c = shape_counts(values, value, n)
-    keep = c.where((F.col("at") < 0) & (F.col("n") * (WEIGHT / LEAST) >= total)).select(F.col("shape").alias("kept"))
-    rows = c.join(keep, F.col("shape") == F.col("kept"), "left_semi").collect()  # at most WEIGHT / LEAST shapes of at most LONGEST places
+    keep = c.where((F.col("ch") == "") & (F.col("n") * (WEIGHT / LEAST) >= total)).select(F.col("shape").alias("kept"))
+    rows = c.join(keep, F.col("shape") == F.col("kept"), "left_semi").collect()  # at most WEIGHT / LEAST shapes of at most 62 letters and digits
     return [e for e, _ in induce([tuple(r) for r in rows], total)]
 
 

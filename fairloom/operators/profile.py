@@ -1,8 +1,9 @@
 """Problem 2: a quality profile of every column for every load, and the loads that differ.
 
 One pass of partial aggregates gives missing values, ranges and distinct counts per load. Text columns get expressions by minimum description length
-over all distinct values (functions/expressions.py); rows that do not conform are counted per load, and each load's coverage is compared with the
-table's. The change of a distribution is the largest gap between two cumulative distributions (numbers), the difference of a share (0/1 columns), or
+over all distinct values (functions/expressions.py); rows that do not conform are malformed and counted per load, and each load's coverage is compared
+with the table's. Where a column has an exact rule, it checks the expressions: one most of whose rows break the rule (a habit common enough for an
+expression, but not allowed) is dropped, and single rows that break it count as malformed too. The change of a distribution is the largest gap between two cumulative distributions (numbers), the difference of a share (0/1 columns), or
 the largest difference of a value's share (codes).
 
 The gap of numbers is first bounded on a grid of CELLS cells, whose counts per load are all that is shuffled; only loads for which the bounds leave
@@ -87,14 +88,16 @@ class ColumnProfile:
         col = F.col(f"`{c}`")
         v = stage(self.df.where(col.isNotNull()).groupBy(self.key, col.alias("v__")).agg(F.count("*").alias("c__")))
         expressions = column_expressions(v.groupBy("v__").agg(F.sum("c__").alias("c__")), "v__", "c__")
-        conforms = F.col("v__").rlike(whole(expressions))
-        good = F.col("v__").rlike(rule.pattern) if rule.pattern else conforms
-        v = v.withColumn("fits__", conforms).withColumn("good__", good)
+        legal = F.col("v__").rlike(rule.pattern) if rule.pattern else F.lit(True)
+        if rule.pattern and expressions:
+            of = [F.col("v__").rlike(whole([e])) for e in expressions]
+            n = v.agg(*[F.sum(F.when(e & ok, F.col("c__")).otherwise(0)) for e in of for ok in (legal, ~legal)]).first()
+            expressions = [e for i, e in enumerate(expressions) if n[2 * i] >= n[2 * i + 1]]
+        v = v.withColumn("fits__", F.col("v__").rlike(whole(expressions)))
+        v = v.withColumn("good__", F.col("fits__") & legal)
         all_, fit = v.agg(F.sum("c__"), F.sum(F.when(F.col("fits__"), F.col("c__")))).first()
-        odd = F.sum(F.when(~F.col("fits__"), F.col("c__")).otherwise(0))
-        # what the exact rule refuses, also where it is common enough for an expression; without a rule what no expression covers
-        bad = F.sum(F.when(~F.col("good__"), F.col("c__")).otherwise(0))
-        out = v.groupBy("load__").agg(odd.alias("odd"), bad.alias("malformed"), (1 - odd / F.sum("c__")).alias("coverage"), F.sum(F.when(F.col("good__"), F.col("c__"))).alias("good__"))
+        count = lambda c: F.sum(F.when(~F.col(c), F.col("c__")).otherwise(0))
+        out = v.groupBy("load__").agg(count("fits__").alias("odd"), count("good__").alias("malformed"), (1 - count("fits__") / F.sum("c__")).alias("coverage"), F.sum(F.when(F.col("good__"), F.col("c__"))).alias("good__"))
         out = out.withColumn("coverage_table", F.lit((fit or 0) / all_ if all_ else None).cast("double"))
         well = v.where("good__").select("load__", "v__", "c__")
         whole_n = well.agg(F.sum("c__")).first()[0] or 1
@@ -156,7 +159,8 @@ class ColumnProfile:
 
     def profile(self) -> DataFrame:
         """One row per load and column: load, column_name, n_rows, n_missing, n_distinct (about 5 % off), least, greatest, n_out_of_range, n_odd,
-        n_malformed, coverage, coverage_table, shift, shift_most, and the issues as flags nulls, range, pattern, constant, shifted."""
+        n_malformed, coverage, coverage_table, shift, shift_most, and the issues as flags nulls, range, pattern, constant, shifted, and uncovered: the
+        expressions cover less of the load than of the table by more than the limit of shifts."""
         basics = stage(self._basics())
         limit, parts = self.limits, []
         none = F.lit(None).cast("double")
@@ -179,7 +183,7 @@ class ColumnProfile:
             parts.append(
                 b.select(
                     F.col("load__").alias(self.load), F.lit(c).alias("column_name"), "n_rows", "n_missing", F.when(F.col("one"), F.lit(1).cast("long")).otherwise(F.col("n_distinct")).alias("n_distinct"), "least", "greatest", "n_out_of_range", F.coalesce("odd", F.lit(0)).alias("n_odd"), F.coalesce("malformed", F.lit(0)).alias("n_malformed"), "coverage", "coverage_table", "shift", "shift_most",
-                    (F.col("n_missing") * 100 > F.col("n_rows") * limit.null_percent).alias("nulls"), (F.col("n_out_of_range") > 0).alias("range"), (F.coalesce("malformed", F.lit(0)) > 0).alias("pattern"), F.coalesce("one", F.lit(False)).alias("constant"), F.coalesce(F.col("shift") > limit.shift, F.lit(False)).alias("shifted"),
+                    (F.col("n_missing") * 100 > F.col("n_rows") * limit.null_percent).alias("nulls"), (F.col("n_out_of_range") > 0).alias("range"), (F.coalesce("malformed", F.lit(0)) > 0).alias("pattern"), F.coalesce("one", F.lit(False)).alias("constant"), F.coalesce(F.col("shift") > limit.shift, F.lit(False)).alias("shifted"), F.coalesce(F.col("coverage_table") - F.col("coverage") > limit.shift, F.lit(False)).alias("uncovered"),
                 )
             )
         out = parts[0]
@@ -189,7 +193,7 @@ class ColumnProfile:
 
 
 def issues(profile: DataFrame, load: str) -> DataFrame:
-    """(load, column_name, issue): the flags of a profile that are set."""
+    """(load, column_name, issue): the flags of a profile that are set, but for uncovered."""
     names = {"nulls": "nulls", "range": "range", "pattern": "pattern", "constant": "constant", "shifted": "shift"}
     found = F.array_compact(F.array(*[F.when(F.col(k), F.lit(v)) for k, v in names.items()]))
     return profile.select(F.col(f"`{load}`"), "column_name", F.explode(found).alias("issue"))

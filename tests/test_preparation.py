@@ -67,9 +67,12 @@ def test_expressions_follow_the_evidence(spark):
     c = Counter({"A": 800, "B": 150, "C": 60, "A001": 90, "A002": 40, "F017": 60, "a": 2, "A.": 3, "N/A": 2, "Z9": 1, "": 1, "x" * 5000: 1})
     df = spark.createDataFrame(list(c.items()), "v string, n long")
     ex = column_expressions(df, "v", "n")
-    assert ex == ["[A-C]", "[AF]0[0-1][127]"]
+    assert ex == ["[A-CF]", "[A-CF][0-27]{3}"]  # one alphabet for the column
     ok = {r["v"] for r in df.where(F.col("v").rlike(whole(ex))).collect()}
     assert ok == {"A", "B", "C", "A001", "A002", "F017"}
+    long = spark.createDataFrame([(f"https://site.example/item/{i:07d}", 5) for i in range(200)] + [("word " * 40, 300)], "v string, n long")
+    (e,) = column_expressions(long, "v", "n")
+    assert e.count("+") == 5 and long.where(F.col("v").rlike(whole([e]))).count() == 200
     ten = spark.createDataFrame([(k, n * 10) for k, n in c.items()], "v string, n long")
     assert column_expressions(ten, "v", "n") == ex  # the same share of noise, the same expressions
     assert induce([], 0) == [] and column_expressions(df.limit(0), "v", "n") == []
@@ -107,12 +110,22 @@ def test_profile_issues(spark):
     assert got == want
 
 
+def test_found_needs_no_rule_for_codes(spark):
+    from fairloom.plans.preparation import RULES as rules
+
+    dev = spark.read.parquet("/root/testdata/sf0.01/dev_sample.parquet")
+    flags = [{r["load_id"]: r["n_malformed"] for r in ColumnProfile(dev, "load_id", r, ["sensitive"]).profile().collect()} for r in ({}, rules)]
+    assert flags[0] == flags[1] and sum(flags[0].values()) > 0
+    codes = dev.groupBy("sensitive").count().where("sensitive is not null")
+    assert column_expressions(codes, "sensitive", "count") == ["[A-H]", "[A-H][0-9]{3}"]
+
+
 def test_common_malformed_codes_stay_malformed(spark):
     rows = [(i % 6, "a123" if i % 6 == 2 and i % 5 == 0 else "AB"[i % 2]) for i in range(3000)]
     df = spark.createDataFrame(rows, "load long, code string")
     assert len(column_expressions(df.groupBy("code").count(), "code", "count")) == 2  # the malformed shape has an expression
     got = {r["load"]: r for r in ColumnProfile(df, "load", {"code": RULES["code"]}, ["code"]).profile().collect()}
-    assert {k: (r["pattern"], r["n_malformed"], r["n_odd"]) for k, r in got.items()} == {k: (k == 2, 100 * (k == 2), 0) for k in range(6)}
+    assert {k: (r["pattern"], r["n_malformed"], r["n_odd"]) for k, r in got.items()} == {k: (k == 2, 100 * (k == 2), 100 * (k == 2)) for k in range(6)}  # but not with the rule
 
 
 def test_profile_of_y_true(spark):
