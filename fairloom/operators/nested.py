@@ -7,7 +7,7 @@ that has not ended, so the link needs one sorted pass and no pairs.
 A section may be a list, a list of lists, one object, an object with the list under 'items' beside scalars, an object keyed by the name that its items
 lack, or any of these as JSON text. A dict is an item if it states a name (attribute, feature) or holds a scalar result or a table of counts.
 
-Defined results: NULL and invalid texts give no nodes; null items and null slices are skipped; sections that hold no item give none; a name stated
+Defined results: NULL and invalid texts give no nodes, nor do texts nested deeper than the decoder goes; null items and null slices are skipped; sections that hold no item give none; a name stated
 nowhere is ''; a repeated report (same id) is taken once; an empty table gives empty tables. Only the two named columns are read.
 """
 
@@ -44,40 +44,48 @@ class _Walk:
     def __init__(self, values: bool):
         self.values, self.pre, self.post, self.out = values, 0, 0, []
 
-    def visit(self, v, section: str, key: str, depth: int, keys: tuple[str, ...], state: str) -> None:
-        """state: 'out' outside of items, 'in' in an item, 'slices' under an item's slices."""
-        pre = self.pre
-        self.pre += 1
+    def visit(self, root, section: str) -> None:
+        """Walks a section with a stack of its own, as a payload may be nested deeper than Python's calls go."""
+        todo: list[tuple] = [(root, section, 1, (), "out")]
+        while todo:
+            top = todo.pop()
+            if len(top) == 2:  # a node whose children are done
+                at, row = top
+                if at is not None:
+                    self.out[at] = (*row[:3], self.post, *row[3:])
+                self.post += 1
+                continue
+            v, key, depth, keys, state = top
+            row, children = self._node(v, section, key, depth, keys, state)
+            at = None
+            if row[1] in ("item", "slice") or self.values:
+                at = len(self.out)
+                self.out.append(None)
+            todo.append((at, row))
+            todo += reversed(children)
+            self.pre += 1
+
+    def _node(self, v, section: str, key: str, depth: int, keys: tuple[str, ...], state: str) -> tuple[tuple, list[tuple]]:
+        """(section, kind, pre, depth, key, value, names), and the children. state: 'out' outside of items, 'in' in an item, 'slices' under an item's slices."""
         kind, names = ("object" if isinstance(v, dict) else "array" if isinstance(v, list) else "value"), (None, None)
-        children = []
-        if state == "out" and isinstance(v, str) and section:
-            read = parse_any(v)
-            if isinstance(read, (dict, list)):
-                v, kind = read, "text"
-                children = [("", read, keys, state)]
-        if kind == "text":
-            pass
+        children: list[tuple] = []
+        read = parse_any(v) if state == "out" and isinstance(v, str) and section else None
+        if isinstance(read, (dict, list)):
+            kind, children = "text", [(read, "", depth + 1, keys, state)]
         elif isinstance(v, list):
-            children = [("", x, keys, state) for x in v]
+            children = [(x, "", depth + 1, keys, state) for x in v]
         elif isinstance(v, dict):
             if state == "out" and section and _is_item(v):
                 kind, state, names = "item", "in", self._names(v, section, keys)
             if state == "out" and section:
                 # keys beside scalars ('items', 'count') name nothing
                 named = all(isinstance(x, (dict, list)) or x is None for x in v.values())
-                children = [(k, x, (*keys, k) if named and depth else keys, state) for k, x in v.items()]
+                children = [(x, k, depth + 1, (*keys, k) if named and depth else keys, state) for k, x in v.items()]
             else:
                 if state == "slices":
                     kind = "slice"
-                children = [(k, x, keys, "slices" if k == "slices" else "in" if state == "slices" else state) for k, x in v.items()]
-        at = len(self.out)
-        if kind in ("item", "slice") or self.values:
-            self.out.append(None)
-        for k, x, ks, s in children:
-            self.visit(x, section, k, depth + 1, ks, s)
-        if len(self.out) > at and self.out[at] is None:
-            self.out[at] = (section, kind, pre, self.post, depth, key, _text(v) if kind == "value" else None, *names)
-        self.post += 1
+                children = [(x, k, depth + 1, keys, "slices" if k == "slices" else "in" if state == "slices" else state) for k, x in v.items()]
+        return (section, kind, self.pre, depth, key, _text(v) if kind == "value" else None, *names), children
 
     @staticmethod
     def _names(v: dict, section: str, keys: tuple[str, ...]) -> tuple[str, str]:
@@ -101,7 +109,7 @@ def nodes(df: DataFrame, id_col: str = "report_id", text_col: str = "payload", b
                 w = _Walk(values)
                 for section in SECTIONS:
                     if section in b:
-                        w.visit(b[section], section, section, 1, (), "out")
+                        w.visit(b[section], section)
                 out += [(i, *x) for x in w.out]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 

@@ -235,7 +235,7 @@ def test_changes_of_files(spark):
         (21, "retyped", "meta.phase", "meta.phase"), (21, "retyped", "sum.rep_flags", "sum.rep_flags"),
     }
     out = SchemaDrift(df).unified(["file_id"])
-    assert out.count() == len(rows)
+    assert out.count() == len(set(rows))
     assert {c for c in out.columns} == {"file_id", "meta.alpha", "meta.phase", "sum.rep_flags", "sum.notes", "sum.started", "sum.repFlags"}
     late = out.where("file_id = 13").collect()
     assert all(r["meta.alpha"] is not None and r["sum.notes"] is not None for r in late)
@@ -249,9 +249,53 @@ def test_drift_of_nothing(spark):
     assert SchemaDrift(one).unified(["file_id"]).count() == 3
 
 
+def _notes(name, files, feed, first, seq=1, start=0):
+    """Files of three records with one note each and a number."""
+    return [r for f in range(files) for r in _file(feed, first + f, seq + f, *[{"a": {name: ["see log", "by hand", "partial run"][i], "n": 7 * i + start}} for i in range(3)])]
+
+
+def test_a_name_that_comes_back_keeps_both_fields(spark):
+    rows = _notes("note", 3, 1, 10) + _notes("note_text", 3, 1, 20, seq=4)
+    rows += _file(1, 30, 7, *[{"a": {"note_text": "by hand", "note": 100 + i, "n": i}} for i in range(3)])
+    df = spark.createDataFrame(rows, "feed_id long, file_id long, file_seq int, payload string")
+    assert {tuple(r) for r in SchemaDrift(df).changes().collect()} == {(20, "renamed", "a.note", "a.note_text"), (30, "added", "", "a.note")}
+    out = SchemaDrift(df).unified(["file_id"])
+    assert set(out.columns) == {"file_id", "a.note", "a.note (2)", "a.n"}
+    got = {(r["file_id"], r["a.note"], r["a.note (2)"]) for r in out.collect()}
+    assert {(30, "by hand", 100 + i) for i in range(3)} <= got and (20, "see log", None) in got and (10, "see log", None) in got
+
+
+def test_feeds_that_begin_with_different_names_share_a_column(spark):
+    rows = _notes("note", 3, 1, 10) + _notes("note_text", 3, 1, 20, seq=4) + _notes("note_text", 3, 2, 40)  # known from the other feed's rename
+    rows += [(f, i, s, p.replace('"note_text"', '"noteText"')) for f, i, s, p in _notes("note_text", 2, 3, 60)]  # found by flooding
+    df = spark.createDataFrame(rows, "feed_id long, file_id long, file_seq int, payload string")
+    out = SchemaDrift(df).unified(["file_id"])
+    assert set(out.columns) == {"file_id", "a.note", "a.n"} and out.where("`a.note` is null").count() == 0
+
+
+def test_wide_numbers_deep_texts_and_repeated_rows(spark):
+    deep = '{"a": {"n": 1, "deep": ' + "[" * 1200 + "]" * 1200 + "}}"
+    rows = _file(1, 1, 1, '{"a": {"n": 99999999999999999999, "w": 1}}', '{"a": {"n": 3, "w": ' + "9" * 50 + "}}", deep)
+    df = spark.createDataFrame(rows + rows, "feed_id long, file_id long, file_seq int, payload string")
+    out = SchemaDrift(df).unified(["file_id"])
+    kinds = dict(out.dtypes)
+    assert kinds["a.n"] == "decimal(38,0)" and kinds["a.w"] == "string" and kinds["a.deep"] == "string"
+    assert sorted(int(r["a.n"]) for r in out.collect()) == [1, 3, 99999999999999999999]
+    deep = '{"body": {"proxies": ' + "[" * 1200 + '{"attribute": "s", "feature": "f", "test": "t"}' + "]" * 1200 + "}}"
+    report = spark.createDataFrame([(1, deep), (2, "[" * 100000)], "report_id long, payload string")
+    assert [tuple(r) for r in link(nodes(report)).select("report_id", "attribute", "feature").collect()] == [(1, "s", "f")]
+
+
+def test_sketches_of_spread_files_agree(spark):
+    rows = _file(1, 1, 1, *[{"v": f"text number {i} " + "x" * 300 + str(i)} for i in range(3000)])
+    df = spark.createDataFrame(rows, "feed_id long, file_id long, file_seq int, payload string")
+    a, b = (sorted(SchemaDrift(df.repartition(n)).fields.first()["values"]) for n in (1, 16))
+    assert a == b and len(a) == 256
+
+
 def test_correspondences_are_one_to_one():
-    old = [Field("a.alpha", "number", ("0.1", "0.05")), Field("a.flags", "integer", ("0", "1", "2")), Field("a.text", "string", ("by hand",))]
-    new = [Field("b.alpha", "number", ("0.1",)), Field("b.flags", "integer", ("1", "0")), Field("b.rows", "integer", ("91234", "80000")), Field("a.when", "string", ("2024-01-01",))]
+    old = [Field.of("a.alpha", "number", ("0.1", "0.05")), Field.of("a.flags", "integer", ("0", "1", "2")), Field.of("a.text", "string", ("by hand",))]
+    new = [Field.of("b.alpha", "number", ("0.1",)), Field.of("b.flags", "integer", ("1", "0")), Field.of("b.rows", "integer", ("91234", "80000")), Field.of("a.when", "string", ("2024-01-01",))]
     assert correspondences(old, new) == [("a.alpha", "b.alpha"), ("a.flags", "b.flags")]
     assert correspondences(old, new, {("a.flags", "b.flags")}) == [("a.alpha", "b.alpha")]
     assert correspondences([], new) == [] and correspondences(old, old) == []
