@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairloom.operators.grouping import without_nan
+from fairloom.session import stage
 
 #: Whole numbers with at most so many values next to an attribute are categories.
 FEW = 20
@@ -25,22 +26,30 @@ def usable(df: DataFrame, without: list[str]) -> list[str]:
 
 def contingency(df: DataFrame, features: list[str], attributes: list[str]) -> DataFrame:
     """(feature, attribute, f, a, n): counts of value pairs as text."""
-    return _pairs(df, features, attributes, "string").groupBy("feature", "attribute", "f", "a").agg(F.count("*").alias("n"))
+    return contingency_of(df, [(f, a) for a in attributes for f in features])
 
 
-def _pairs(df: DataFrame, features: list[str], attributes: list[str], kind: str) -> DataFrame:
+def contingency_of(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The same for chosen pairs (feature, attribute), in one pass and one shuffle."""
+    return _pairs(df, pairs, "string").groupBy("feature", "attribute", "f", "a").agg(F.count("*").alias("n"))
+
+
+def _pairs(df: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFrame:
     value = lambda c: without_nan(df, c).cast(kind)
-    two = [F.struct(F.lit(f).alias("feature"), F.lit(a).alias("attribute"), value(f).alias("f"), without_nan(df, a).cast("string").alias("a")) for a in attributes for f in features]
+    two = [F.struct(F.lit(f).alias("feature"), F.lit(a).alias("attribute"), value(f).alias("f"), without_nan(df, a).cast("string").alias("a")) for f, a in pairs]
     return df.select(F.inline(F.array(*two))).where("f is not null and a is not null")
 
 
 def chi2(counts: DataFrame) -> DataFrame:
-    """(feature, attribute, n, chi2, dof, v): from non-zero cells, chi2 = n (sum O^2 / (R C) - 1) and V = sqrt(chi2 / n / (min(r, k) - 1))."""
+    """(feature, attribute, n, chi2, dof, v): from non-zero cells, chi2 = n (sum O^2 / (R C) - 1) and V = sqrt(chi2 / n / (min(r, k) - 1)).
+
+    The counts are written once; their row and column sums come from one aggregate by grouping sets."""
     pair = ["feature", "attribute"]
-    r = counts.groupBy(*pair, "f").agg(F.sum("n").alias("r"))
-    c = counts.groupBy(*pair, "a").agg(F.sum("n").alias("c"))
-    s = counts.join(r, [*pair, "f"]).join(c, [*pair, "a"]).groupBy(*pair).agg(F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"), F.sum("n").alias("n"))
-    s = s.join(r.groupBy(*pair).agg(F.count("*").alias("rows")), pair).join(c.groupBy(*pair).agg(F.count("*").alias("cols")), pair)
+    counts = stage(counts)
+    sums = stage(counts.groupingSets([[*map(F.col, pair), F.col("f")], [*map(F.col, pair), F.col("a")]], *map(F.col, pair), F.col("f"), F.col("a")).agg(F.sum("n").alias("m"), F.grouping("a").alias("row")))
+    r, c = sums.where("row = 1").select(*pair, "f", F.col("m").alias("r")), sums.where("row = 0").select(*pair, "a", F.col("m").alias("c"))
+    size = sums.groupBy(*pair).agg(F.sum("row").alias("rows"), F.sum(1 - F.col("row")).alias("cols"))
+    s = counts.join(r, [*pair, "f"]).join(c, [*pair, "a"]).groupBy(*pair).agg(F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c"))).alias("s"), F.sum("n").alias("n")).join(size, pair)
     small = F.least("rows", "cols")
     phi = F.greatest(F.col("s") - 1, F.lit(0.0))
     ok = small >= 2
@@ -49,7 +58,7 @@ def chi2(counts: DataFrame) -> DataFrame:
 
 def moments(df: DataFrame, features: list[str], attributes: list[str]) -> DataFrame:
     """(feature, attribute, a, n, mean, var): of a numeric feature within each value of an attribute."""
-    return _pairs(df, features, attributes, "double").groupBy("feature", "attribute", "a").agg(F.count("*").alias("n"), F.avg("f").alias("mean"), F.coalesce(F.var_samp("f"), F.lit(0.0)).alias("var"))
+    return _pairs(df, [(f, a) for a in attributes for f in features], "double").groupBy("feature", "attribute", "a").agg(F.count("*").alias("n"), F.avg("f").alias("mean"), F.coalesce(F.var_samp("f"), F.lit(0.0)).alias("var"))
 
 
 def anova(groups: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ class StatisticalDisparityDetector:
         features = features or usable(df, attributes)
         counts, cats, nums = split_kinds(df, features, attributes)
         counts = stage(counts)
-        x = chi2(counts)
+        x = stage(chi2(counts))
         m = anova(moments(df, nums, attributes)) if nums else None
         if m is not None and cats:  # whole numbers that are categories beside this attribute
             m = m.join(counts.select("feature", "attribute").distinct(), ["feature", "attribute"], "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairloom.session import broadcast_if_small, stage
+
 SEPARATOR = "||"
 
 
@@ -26,6 +28,12 @@ def without_nan(df: DataFrame, c: str) -> Column:
     return F.when(~F.isnan(col), col) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else col
 
 
+def finite(df: DataFrame, c: str) -> Column:
+    """The column as a double; NaN and infinities are missing, they have no place in a mean."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def label(df: DataFrame, cols: str | list[str], nan_policy: str = "exclude") -> Column:
     """The group of a row as text. Missing attributes: 'exclude' makes the label NULL, 'include' writes NaN for them."""
     if nan_policy not in ("exclude", "include"):
@@ -48,5 +56,7 @@ def group_sizes(df: DataFrame, group: Column | str) -> DataFrame:
 
 
 def min_group_mask(df: DataFrame, group: Column, least: int, out: str = "kept") -> DataFrame:
-    """Each row with whether its group has the least size; NULL is a group here."""
-    return df.withColumn(out, F.count("*").over(Window.partitionBy(group)) >= least)
+    """Each row with whether its group has the least size; NULL is a group here. Sizes are counted first and joined, so no task holds a group."""
+    n = df.groupBy(group.alias("g__")).agg(F.count("*").alias("n__")).select("g__", (F.col("n__") >= least).alias(out))
+    n = stage(n)
+    return df.join(broadcast_if_small(n, n.count()), group.eqNullSafe(F.col("g__"))).drop("g__")

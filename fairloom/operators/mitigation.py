@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairloom.functions.scalar import clip, to_number
-from fairloom.operators.association import abs_pearson, chi2, contingency
+from fairloom.operators.association import abs_pearson, chi2, contingency_of
 from fairloom.operators.grouping import require, without_nan
 from fairloom.operators.prefix import running_sum
 from fairloom.operators.selection import same_keys
 from fairloom.session import broadcast_if_small, stage
 
 
+#: Places of the pool that one task sorts at most.
+PLACES = 500_000
+
+
 def _text(df: DataFrame, c: str) -> Column:
     return without_nan(df, c).cast("string")
 
@@ -119,9 +123,9 @@ def _pool(df: DataFrame, feature: str) -> tuple[DataFrame, int]:
 
 
 class RepairModel(Model):
-    def __init__(self, sensitive: str, pools: dict[str, tuple[DataFrame, int]], repair_level: float, min_group_size: int, buckets: int = 256):
+    def __init__(self, sensitive: str, pools: dict[str, tuple[DataFrame, int]], repair_level: float, min_group_size: int):
         super().__init__()
-        self.sensitive, self.pools, self.repair_level, self.min_group_size, self.buckets = sensitive, pools, repair_level, min_group_size, buckets
+        self.sensitive, self.pools, self.repair_level, self.min_group_size = sensitive, pools, repair_level, min_group_size
 
     def _transform(self, df: DataFrame) -> DataFrame:
         for f, (pool, n) in self.pools.items():
@@ -148,7 +152,7 @@ class RepairModel(Model):
 
     def _values_at(self, places: DataFrame, pool: DataFrame, n: int) -> DataFrame:
         """(p__, v): the pool's values at places of its sorted order; places and pool meet in buckets of places, a value in each that it reaches."""
-        width = max(1, -(-n // self.buckets))
+        width = max(1, min(PLACES, -(-n // 256)))
         of = lambda c: F.expr(f"cast(({c}) div {width} as long)")
         have = pool.select("v", "start", F.explode(F.sequence(of("start"), of("start + c - 1"))).alias("b__"))
         want = places.select(F.col("lo__").alias("p__"), of("lo__").alias("b__"))
@@ -190,26 +194,26 @@ def proxy_scores(df: DataFrame, sensitive: list[str], features: list[str], num_c
 
     text = {c for c in {*sensitive, *features} if isinstance(df.schema[c].dataType, T.StringType)}
     maybe = sorted(text)
-    two: dict[str, str] = {}
-    if maybe:  # the texts with two values, and the greater one
-        r = df.agg(*[x for i, c in enumerate(maybe) for x in (F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"k{i}"), F.min(f"`{c}`").alias(f"a{i}"), F.max(f"`{c}`").alias(f"b{i}"), F.count(f"`{c}`").alias(f"n{i}"))]).first()
-        near = [(i, c) for i, c in enumerate(maybe) if r[f"k{i}"] <= 3 and r[f"a{i}"] != r[f"b{i}"]]
-        if near:
-            ends = df.agg(*[F.count(F.when(F.col(f"`{c}`").isin(r[f"a{i}"], r[f"b{i}"]), 1)).alias(f"e{i}") for i, c in near]).first()
-            two = {c: r[f"b{i}"] for i, c in near if ends[f"e{i}"] == r[f"n{i}"]}
     pairs = [(f, a) for a in sensitive for f in features if f != a]
-    code = lambda c: F.when(F.col(f"`{c}`").isNotNull(), (F.col(f"`{c}`") == two[c]).cast("double")) if c in text else to_number(without_nan(df, c))
-    linear = [(f, a) for f, a in pairs if all(c not in text or c in two for c in (f, a)) and not (f in text and a in text)]
+    near: dict[str, tuple] = {}
+    if maybe:  # the texts that may have two values, and these
+        r = df.agg(*[x for i, c in enumerate(maybe) for x in (F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"k{i}"), F.min(f"`{c}`").alias(f"a{i}"), F.max(f"`{c}`").alias(f"b{i}"))]).first()
+        near = {c: (r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(maybe) if r[f"k{i}"] <= 3 and r[f"a{i}"] != r[f"b{i}"]}
+    code = lambda c: F.when(F.col(f"`{c}`").isNotNull(), (F.col(f"`{c}`") == near[c][1]).cast("double")) if c in text else to_number(without_nan(df, c))
+    tried = [(f, a) for f, a in pairs if all(c not in text or c in near for c in (f, a)) and not (f in text and a in text)]
+    got, two = None, set()
+    if tried:  # the same pass tells which texts have no third value
+        others = [F.count(F.when(~F.col(f"`{c}`").isin(*near[c]), 1)).alias(f"o{i}") for i, c in enumerate(near)]
+        got = df.agg(*[abs_pearson(code(f), code(a)).alias(f"r{i}") for i, (f, a) in enumerate(tried)], *others).first()
+        two = {c for i, c in enumerate(near) if not got[f"o{i}"]}
+    linear = {(f, a): got[f"r{i}"] for i, (f, a) in enumerate(tried) if all(c not in text or c in two for c in (f, a))}
     eta = [(f, a) for f, a in pairs if (f, a) not in linear and (f in text) != (a in text)] if num_cat == "eta" else []
     rest = [p for p in pairs if p not in linear and p not in eta]
     spark, parts = df.sparkSession, []
     if linear:
-        r = df.agg(*[abs_pearson(code(f), code(a)).alias(str(i)) for i, (f, a) in enumerate(linear)])
-        parts.append(r.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(a).alias("attribute"), F.col(str(i)).alias("score")) for i, (f, a) in enumerate(linear)]))))
-    for a in sensitive:
-        fs = [f for f, x in rest if x == a]
-        if fs:
-            parts.append(chi2(contingency(df, fs, [a])).select("feature", "attribute", F.coalesce("v", F.lit(0.0)).alias("score")))
+        parts.append(spark.createDataFrame([(f, a, r) for (f, a), r in linear.items()], "feature string, attribute string, score double"))
+    if rest:
+        parts.append(chi2(contingency_of(df, rest)).select("feature", "attribute", F.coalesce("v", F.lit(0.0)).alias("score")))
     for f, a in eta:
         n, t = (a, f) if f in text else (f, a)
         parts.append(anova(moments(df, [n], [t])).select(F.lit(f).alias("feature"), F.lit(a).alias("attribute"), F.sqrt(F.coalesce("eta2", F.lit(0.0))).alias("score")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairloom.functions.bootstrap import metric_interval
+from fairloom.functions.bootstrap import gap_per_draw, hashed_sums, metric_interval
 from fairloom.functions.scalar import benjamini_hochberg, bonferroni, cohens_d, risk_ratio, to_number
 from fairloom.functions.special import chi2_p, credible, f_p
 from fairloom.operators import association, metrics
@@ -40,7 +40,7 @@ def _r(df: DataFrame, digits: int = 8) -> DataFrame:
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Line items as predictions: of the line status by the discount, of the price by the quantity."""
     li = _table(spark, d, "lineitem")
-    return li.select("l_returnflag", "l_linestatus", (F.col("l_discount") >= 0.05).cast("int").alias("y_pred"), (F.col("l_linestatus") == "F").cast("int").alias("y_true"), F.col("l_extendedprice").alias("price"), (F.col("l_quantity") * 1500.0).alias("guess"))
+    return li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", (F.col("l_discount") >= 0.05).cast("int").alias("y_pred"), (F.col("l_linestatus") == "F").cast("int").alias("y_true"), F.col("l_extendedprice").alias("price"), (F.col("l_quantity") * 1500.0).alias("guess"))
 
 
 _L = """l as (select l_returnflag, l_linestatus, case when l_discount >= 0.05 then 1 else 0 end as y_pred, case when l_linestatus = 'F' then 1 else 0 end as y_true,
@@ -68,7 +68,7 @@ union all select 'mae_parity_difference', round({_gap("mae")}, 8), round((select
 def metrics_returnflag(spark: SparkSession, d: str) -> DataFrame:
     """M1 to M3 with effect sizes E3, E5, E6 by return flag."""
     li = _lines(spark, d)
-    s, m = metrics.group_stats(li, "l_returnflag", "y_pred", "y_true"), metrics.group_stats(li, "l_returnflag", "guess", "price")
+    s, m = metrics.group_stats_of(li, "l_returnflag", {"class": ("y_pred", "y_true"), "value": ("guess", "price")}).values()
     named = lambda n, x: x.select(F.lit(n).alias("metric"), "value", "effect_size", "n_groups")
     out = named("demographic_parity_difference", metrics.dpd(s)).unionByName(named("equalized_odds_difference", metrics.eod(s)))
     return _r(out.unionByName(named("mae_parity_difference", metrics.mae_parity(m))))
@@ -85,7 +85,7 @@ def group_rates_returnflag(spark: SparkSession, d: str) -> DataFrame:
 select round({_gap("rate")}, 8) as dpd, round({_EOD}, 8) as eod, round({_gap("mae")}, 8) as mae, count(*) as n_groups from g""")
 def metrics_dirty(spark: SparkSession, d: str) -> DataFrame:
     """M1 to M3 over scored records with missing groups, predictions and labels; small groups drop out (P3 to P5)."""
-    s = metrics.group_stats(_table(spark, d, "dev_sample"), "sensitive", "y_pred", "y_true")
+    (s,) = metrics.group_stats_of(_table(spark, d, "dev_sample"), "sensitive", {"y": ("y_pred", "y_true")}).values()
     j = lambda x, n: x.select(F.col("value").alias(n), F.col("n_groups"))
     return _r(j(metrics.dpd(s), "dpd").join(j(metrics.eod(s), "eod"), "n_groups").join(j(metrics.mae_parity(s), "mae"), "n_groups"))
 
@@ -95,7 +95,7 @@ def metrics_dirty(spark: SparkSession, d: str) -> DataFrame:
 select round(case when count(tpr) >= 2 and count(fpr) >= 2 then greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) end, 8) as value from g""")
 def eod_strict(spark: SparkSession, d: str) -> DataFrame:
     """M2b, on scores."""
-    df = _table(spark, d, "dev_sample").where("abs(score) < double('infinity')")
+    df = _table(spark, d, "dev_sample")
     return _r(metrics.eod(metrics.group_stats(df, "sensitive", "score", "y_true"), "strict").select("value"))
 
 
@@ -265,14 +265,14 @@ def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     for name, yt in (("demographic_parity_difference", None), ("equalized_odds_difference", "y_true")):
         for method in ("percentile", "bca"):
             for strat in (True, False):
-                out.append((name, method, strat, *metric_interval(name, li, "l_returnflag", "y_pred", yt, 30, "exclude", 0.95, method, 500, 42, strat)))
+                out.append((name, method, strat, *metric_interval(name, li, "l_returnflag", "y_pred", yt, 30, "exclude", 0.95, method, 2000, 42, strat)))
     return spark.createDataFrame(out, "metric string, method string, stratified boolean, lo double, hi double")
 
 
 @query()
 def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
     """B7 (2): errors are no counts."""
-    lo, hi = metric_interval("mae_parity_difference", _lines(spark, d), "l_returnflag", "guess", "price", 30, "exclude", 0.95, "percentile", 100, 42)
+    lo, hi = metric_interval("mae_parity_difference", _lines(spark, d), "l_returnflag", "guess", "price", 30, "exclude", 0.95, "percentile", 2000, 42, key=["l_orderkey", "l_linenumber"])
     return spark.createDataFrame([(lo, hi)], "lo double, hi double")
 
 
@@ -285,13 +285,8 @@ w as (select b, g, p, case when u < 0.36787944117144233 then 0 when u < 0.735758
 @query(f"""with {_DRAWS}, s as (select b, g, sum(w * p) / sum(w) as rate from w group by 1, 2) select b, round(max(rate) - min(rate), 8) as value from s group by 1""")
 def md5_bootstrap_dpd(spark: SparkSession, d: str) -> DataFrame:
     """B7 (3): Poisson weights from a hash of the row's key, the same wherever it runs."""
-    cum = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    o = _table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("g"), (F.col("o_totalprice") > 250000).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", "o_orderkey", "b")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    o = o.select("g", "p", F.col("b").cast("long").alias("b"), u.alias("u"))
-    w = sum(((F.col("u") >= c).cast("int") for c in cum), F.lit(0))
-    s = o.groupBy("b", "g").agg((F.sum(w * F.col("p")) / F.sum(w)).alias("rate"))
-    return _r(s.groupBy("b").agg((F.max("rate") - F.min("rate")).alias("value")))
+    o = _table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") > 250000).cast("int").alias("p"))
+    return _r(gap_per_draw(hashed_sums(o, "o_orderstatus", "p", "o_orderkey", 20)).select(F.col("b").cast("long").alias("b"), "value"))
 
 
 @query("""with o as (select c_mktsegment as g, count(*) as n from customer group by 1), t as (select sum(n) as t, count(*) as k from o),

@@ -1,20 +1,23 @@
 """Calibration of scores per group, without gathering a group.
 
-Platt scaling takes Newton steps whose sums are one grouped aggregate for all groups. Isotonic regression pools adjacent violators within ranges of each
-group's scores first and then over the blocks that are left; pooling in parts gives the same result as pooling at once.
+Rows are first counted into (group, score) cells, which everything else reads. Platt scaling takes Newton steps whose sums are one grouped aggregate for all
+groups. Isotonic regression pools adjacent violators within parts of each group's cells, cut by rank; of the blocks that are left only those that
+overlap with other parts' means are pooled again, the others are final. Scores are looked up between the knots of their part in one sorted pass.
+
+Defined results: rows with a missing or infinite score, a missing group or a label other than 0 and 1 are not learnt from; groups below min_samples, and
+for Platt groups with one class, keep their scores; NULL and NaN scores stay NULL, scores beyond the knots get the outermost value.
 """
 
 from __future__ import annotations
 
-from math import isfinite
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairloom.functions.scalar import clip, sigmoid
-from fairloom.operators.grouping import without_nan
+from fairloom.operators.grouping import finite, without_nan
+from fairloom.operators.prefix import running_sum
 from fairloom.operators.selection import same_keys
 from fairloom.session import broadcast_if_small, stage
 
@@ -35,31 +38,29 @@ def pool_adjacent(x0: np.ndarray, x1: np.ndarray, w: np.ndarray, y: np.ndarray)
 
 
 class GroupFairnessCalibrator:
-    """Groups below min_samples, and for Platt groups with one class, keep their scores."""
+    """part: cells of a group that one task pools at a time."""
 
-    def __init__(self, method: str = "platt", min_samples: int = 20, ranges: int = 64, steps: int = 25, l2: float = 1.0):
+    def __init__(self, method: str = "platt", min_samples: int = 20, part: int = 50_000, steps: int = 25, l2: float = 1.0):
         if method not in METHODS:
             raise ValueError(f"unknown method {method!r}")
-        self.method, self.min_samples, self.ranges, self.steps, self.l2 = method, min_samples, ranges, steps, l2
-
-    def _rows(self, df: DataFrame, score: str, y: str, group: str) -> DataFrame:
-        return df.select(without_nan(df, score).cast("double").alias("x"), F.col(y).cast("double").alias("y"), without_nan(df, group).cast("string").alias("g")).dropna()
+        self.method, self.min_samples, self.part, self.steps, self.l2 = method, min_samples, part, steps, l2
 
     def fit(self, df: DataFrame, score: str = "score", y: str = "y", group: str = "g") -> GroupFairnessCalibrator:
         self.score, self.group = score, group
-        rows = self._rows(df, score, y, group)
-        size = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("y").alias("m")).where(F.col("n") >= self.min_samples)
-        self.model = self._platt(rows, size.where((F.col("m") > 0) & (F.col("m") < 1))) if self.method == "platt" else self._isotonic(rows, size)
+        rows = df.select(without_nan(df, group).cast("string").alias("g"), finite(df, score).alias("x"), F.col(f"`{y}`").cast("double").alias("y")).dropna().where("y in (0, 1)")
+        cells = stage(rows.groupBy("g", "x").agg(F.count("*").cast("double").alias("w"), F.sum("y").alias("s")))
+        size = cells.groupBy("g").agg(F.sum("w").alias("n"), (F.sum("s") / F.sum("w")).alias("m")).where(F.col("n") >= self.min_samples)
+        self.model = self._platt(cells, size.where((F.col("m") > 0) & (F.col("m") < 1))) if self.method == "platt" else self._isotonic(cells, size)
         return self
 
-    def _platt(self, rows: DataFrame, size: DataFrame) -> DataFrame:
+    def _platt(self, cells: DataFrame, size: DataFrame) -> DataFrame:
         """(m_g, a, b) with sigmoid(a x + b); the slope has an l2 penalty."""
         now = stage(size.select(F.col("g").alias("m_g"), F.lit(0.0).alias("a"), F.log(F.col("m") / (1 - F.col("m"))).alias("b")))
         k = now.count()
         for _ in range(self.steps):
-            r = rows.join(broadcast_if_small(now, k), F.col("g") == F.col("m_g"))
+            r = cells.join(broadcast_if_small(now, k), F.col("g") == F.col("m_g"))
             p = sigmoid(clip(F.col("a") * F.col("x") + F.col("b"), -500.0, 500.0))
-            w, e = p * (1 - p), p - F.col("y")
+            w, e = F.col("w") * p * (1 - p), F.col("w") * p - F.col("s")
             s = r.groupBy("m_g", "a", "b").agg(F.sum(e * F.col("x")).alias("ga"), F.sum(e).alias("gb"), F.sum(w * F.col("x") * F.col("x")).alias("haa"), F.sum(w * F.col("x")).alias("hab"), F.sum(w).alias("hbb"))
             s = s.withColumn("ga", F.col("ga") + self.l2 * F.col("a")).withColumn("haa", F.col("haa") + self.l2)
             det = F.col("haa") * F.col("hbb") - F.col("hab") ** 2
@@ -73,37 +74,57 @@ class GroupFairnessCalibrator:
                 break
         return now
 
-    def _isotonic(self, rows: DataFrame, size: DataFrame) -> DataFrame:
-        """(m_g, xs, ys): each group's knots."""
-        cells = rows.join(size.select(F.col("g").alias("m_g")), F.col("g") == F.col("m_g")).groupBy("m_g", "x").agg(F.count("*").alias("w"), F.avg("y").alias("y"))
-        ends = cells.groupBy("m_g").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumnRenamed("m_g", "e_g")
-        part = F.least(F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * self.ranges), F.lit(self.ranges - 1)).cast("int")
-        cells = cells.join(ends, F.col("m_g") == F.col("e_g")).select("m_g", part.alias("part"), F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("w").cast("double").alias("w"), "y")
+    def _isotonic(self, cells: DataFrame, size: DataFrame) -> DataFrame:
+        """(m_g, part, x, y): each group's knots, and the part they were learnt in."""
+        cells = cells.join(size.select(F.col("g").alias("m_g")), F.col("g") == F.col("m_g")).select("m_g", "x", "w", (F.col("s") / F.col("w")).alias("y"))
+        ranked = running_sum(cells.withColumn("one__", F.lit(1)), ["m_g", "x"], "one__", "at__")
+        first = ranked.groupBy("m_g").agg(F.min("at__").alias("from__")).withColumnRenamed("m_g", "e_g")
+        part = F.expr(f"cast((at__ - from__) div {self.part} as int)")
+        rows = ranked.join(first, F.col("m_g") == F.col("e_g")).select("m_g", part.alias("part"), F.col("x").alias("x0"), F.col("x").alias("x1"), "w", "y")
         schema = "m_g string, part int, x0 double, x1 double, w double, y double"
 
-        def pool(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        def pool(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("x0")
             b = pool_adjacent(p["x0"].to_numpy(), p["x1"].to_numpy(), p["w"].to_numpy(), p["y"].to_numpy())
-            return pd.DataFrame([(key[0], key[1] if len(key) > 1 else 0, *x) for x in b], columns=["m_g", "part", "x0", "x1", "w", "y"])
-
-        blocks = cells.groupBy("m_g", "part").applyInPandas(pool, schema)
-        blocks = blocks.groupBy("m_g").applyInPandas(pool, schema)
-        knots = F.array_sort(F.flatten(F.collect_list(F.array(F.struct(F.col("x0").alias("x"), "y"), F.struct(F.col("x1").alias("x"), "y")))))
-        return stage(blocks.groupBy("m_g").agg(knots.alias("k")).select("m_g", F.col("k.x").alias("xs"), F.col("k.y").alias("ys")))
+            return pd.DataFrame([(p["m_g"].iloc[0], p["part"].iloc[0], *x) for x in b], columns=["m_g", "part", "x0", "x1", "w", "y"])
+
+        blocks = stage(rows.groupBy("m_g", "part").applyInPandas(pool, schema))
+        ends = blocks.groupBy(F.col("m_g").alias("e_g"), F.col("part").alias("e_part")).agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+        by = Window.partitionBy("e_g").orderBy("e_part")  # one row for each part
+        before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.min("lo").over(by.rowsBetween(1, Window.unboundedFollowing))
+        b = blocks.join(ends.select("e_g", "e_part", before.alias("before"), after.alias("after")), (F.col("m_g") == F.col("e_g")) & (F.col("part") == F.col("e_part")))
+        over = F.coalesce(F.col("y") <= F.col("before"), F.lit(False)) | F.coalesce(F.col("y") >= F.col("after"), F.lit(False))
+        again = b.where(over).select(*blocks.columns).groupBy("m_g").applyInPandas(pool, schema)
+        b = b.where(~over).select(*blocks.columns).unionByName(again)
+        knots = F.when(F.col("x0") < F.col("x1"), F.array("x0", "x1")).otherwise(F.array("x0"))
+        return stage(b.select("m_g", "part", F.explode(knots).alias("x"), "y"))
+
+    def _between(self, values: DataFrame) -> DataFrame:
+        """(m_g, m_x, y) of distinct (g, x): the line between the knots around x."""
+        starts = self.model.groupBy("m_g", "part").agg(F.min(F.struct("x", "y")).alias("lo"), F.max(F.struct("x", "y")).alias("hi"))
+        parts = starts.groupBy("m_g").agg(F.array_sort(F.collect_list(F.col("lo.x"))).alias("starts"))  # one for each part of cells
+        place = F.greatest(F.size(F.filter("starts", lambda s: s <= F.col("x"))) - 1, F.lit(0))
+        v = values.join(parts, F.col("g") == F.col("m_g")).select("m_g", place.alias("p"), F.col("x"), F.lit(None).cast("double").alias("y"), F.lit(1).alias("ask"))
+        k = self.model.join(parts, "m_g").select("m_g", place.alias("p"), "x", "y", F.lit(0).alias("ask"))
+        # the first knot of a part also ends the one before
+        k = k.unionByName(k.groupBy("m_g", "p").agg(F.min(F.struct("x", "y")).alias("e")).where("p > 0").select("m_g", (F.col("p") - 1).alias("p"), "e.x", "e.y", F.lit(0).alias("ask")))
+        by = Window.partitionBy("m_g", "p").orderBy("x", "ask")
+        knot = F.when(F.col("ask") == 0, F.struct("x", "y"))
+        v = k.unionByName(v).withColumn("a", F.last(knot, True).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(knot, True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+        line = F.col("a.y") + (F.col("x") - F.col("a.x")) * F.try_divide(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x"))
+        return v.where("ask = 1").select("m_g", F.col("x").alias("m_x"), F.coalesce(line, "a.y", "b.y").alias("y__"))
 
     def transform(self, df: DataFrame, out: str = "score_cal") -> DataFrame:
         """df with the calibrated score as a double."""
         raw = without_nan(df, self.score).cast("double")
         r = df.withColumn("g__", without_nan(df, self.group).cast("string"))
-        m = broadcast_if_small(self.model.withColumnRenamed("m_g", "m_g__"), self.model.count())
-        r = r.join(m, same_keys(["g__"]), "left")
         if self.method == "platt":
+            m = broadcast_if_small(self.model.withColumnRenamed("m_g", "m_g__"), self.model.count())
             # clip skips NULL
             value = F.when(F.col("a").isNotNull() & raw.isNotNull(), sigmoid(clip(F.col("a") * raw + F.col("b"), -500.0, 500.0)))
-            return r.withColumn(out, F.coalesce(value, raw)).drop("g__", "m_g__", "a", "b")
-
-        @F.pandas_udf("double")
-        def at(x: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-            return pd.Series([None if v is None or not isfinite(v) or p is None else float(np.interp(v, p, q)) for v, p, q in zip(x, xs, ys)], dtype="float64")
-
-        return r.withColumn(out, F.coalesce(at(raw, "xs", "ys"), raw)).drop("g__", "m_g__", "xs", "ys")
+            return r.join(m, same_keys(["g__"]), "left").withColumn(out, F.coalesce(value, raw)).drop("g__", "m_g__", "a", "b")
+        r = r.withColumn("x__", finite(df, self.score))
+        y = self._between(r.where("x__ is not null").select(F.col("g__").alias("g"), F.col("x__").alias("x")).distinct())
+        y = y.select(F.col("m_g").alias("m_g__"), F.col("m_x").alias("m_x__"), "y__")
+        return r.join(y, (F.col("g__") == F.col("m_g__")) & (F.col("x__") == F.col("m_x__")), "left").withColumn(out, F.coalesce("y__", raw)).drop("g__", "x__", "m_g__", "m_x__", "y__")

@@ -1,8 +1,9 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from fairloom import FairnessAnalyzer, assert_fairness, bootstrap_ci, to_markdown_report
-from fairloom.functions.bootstrap import bca_interval, interval_of_counts
+from fairloom.functions.bootstrap import bca_interval, interval_of_array, interval_of_counts, metric_interval, poisson_sums
 from fairloom.operators.metrics import eod, group_stats, rates_by_subset
 
 
@@ -64,7 +65,7 @@ def test_intervals_cover(method):
     for _ in range(150):
         a, b = rng.binomial(400, 0.6), rng.binomial(400, 0.5)
         counts = np.array([[[400 - a, a], [0, 0]], [[400 - b, b], [0, 0]]])
-        lo, hi = interval_of_counts("demographic_parity_difference", counts, 30, 0.9, method, 300, int(rng.integers(1e9)))
+        lo, hi = interval_of_array(counts, "demographic_parity_difference", 30, 0.9, method, 300, int(rng.integers(1e9)))
         hit += lo <= 0.1 <= hi
     assert 0.82 <= hit / 150 <= 0.97
 
@@ -99,3 +100,65 @@ def test_reports_and_gates(spark):
     for bad in ((0.2, 0.1, "<="), (0.05, 0.1, ">"), (float("nan"), 0.1, "<=")):
         with pytest.raises(AssertionError):
             assert_fairness(bad[0], bad[1], comparator=bad[2])
+
+
+def _by_hand(c, name, least):
+    """The metric of counts (groups, 4), one loop a group."""
+    gaps = []
+    for y in (0, 1):
+        r = []
+        for c00, c01, c10, c11 in c.tolist():
+            n = c00 + c01 + c10 + c11
+            pos, all_ = {"demographic_parity_difference": (c01 + c11, n), "mae_parity_difference": (c01 + c10, n)}.get(name, ((c01, c00 + c01), (c11, c10 + c11))[y])
+            if n >= max(least, 1) and all_:
+                r.append(pos / all_)
+        if len(r) >= 2:
+            gaps.append(max(r) - min(r))
+    return max(gaps) if gaps else np.nan
+
+
+@pytest.mark.parametrize("name", ["demographic_parity_difference", "equalized_odds_difference", "mae_parity_difference"])
+def test_leaving_one_row_out_by_hand(name):
+    from fairloom.functions import bootstrap as b
+
+    rng = np.random.default_rng(1)
+    for least in (1, 6):
+        c = rng.integers(0, 5, (6, 4))
+        c = np.vstack([c, c[:2], [[3, 0, 0, 3]]])
+        c = c[c.sum(1) > 0]
+        r = b._rates(name, c.reshape(-1, 2, 2), least)
+        tops = np.sort(np.where(np.isfinite(r), r, -np.inf), 0)[::-1][:2]
+        bottoms = np.sort(np.where(np.isfinite(r), r, np.inf), 0)[:2]
+        v, w = b._leave_one_out(name, c, least, tops, bottoms, np.isfinite(r).sum(0))
+        want = []
+        for g, k in zip(*np.nonzero(c)):
+            less = c.copy()
+            less[g, k] -= 1
+            want.append(_by_hand(less, name, least))
+        assert np.allclose(v, want, equal_nan=True) and w.sum() == c.sum()
+
+
+def test_intervals_on_executors(spark, monkeypatch):
+    from fairloom.functions import bootstrap as b
+
+    rng = np.random.default_rng(3)
+    c = rng.integers(20, 200, (40, 4))
+    df = spark.createDataFrame([(f"g{i}", *map(int, x)) for i, x in enumerate(c)], "grp string, c00 long, c01 long, c10 long, c11 long")
+    for method in ("percentile", "bca"):
+        for strat in (True, False):
+            x = interval_of_counts(df, "equalized_odds_difference", 30, 0.9, method, 800, 1, strat)
+            y = interval_of_array(c.reshape(-1, 2, 2), "equalized_odds_difference", 30, 0.9, method, 800, 2, strat)
+            assert np.allclose(x, y, atol=0.03) and x == interval_of_counts(df.repartition(5), "equalized_odds_difference", 30, 0.9, method, 800, 1, strat)
+    assert np.isnan(interval_of_counts(df.limit(0), "demographic_parity_difference", 1)).all()
+
+
+def test_poisson_weights_do_not_depend_on_the_place(spark):
+    rows = [("a" if i % 3 else "b", float(i % 7), i) for i in range(500)] + [("a", 1.0, 1)] * 2
+    df = spark.createDataFrame(rows, "grp string, x double, key long")
+    got = [sorted(tuple(r) for r in poisson_sums(df.repartition(n), 50, 4).collect()) for n in (1, 7)]
+    assert got[0] == got[1] and abs(np.mean([r[2] for r in got[0] if r[0] == "b"]) - 167) < 10
+    other = df.withColumns({"y": F.lit(0.5), "k2": F.col("key")})
+    with pytest.raises(ValueError):
+        metric_interval("mae_parity_difference", other, "grp", "x", "y", 1, "exclude", 0.9, "bca", 50, 1)
+    lo, hi = metric_interval("mae_parity_difference", other, "grp", "x", "y", 1, "exclude", 0.9, "percentile", 50, 1, key=["key"])
+    assert 0 <= lo <= hi < 2
