@@ -1,4 +1,4 @@
-"""Command line: version, validate, check, pipeline, train-regularized, train-lagrangian, train-reduced, calibrate."""
+"""Command line: version, validate, check, sample-check, pipeline, train-regularized, train-lagrangian, train-reduced, calibrate."""
 
 from __future__ import annotations
 
@@ -49,31 +49,52 @@ def validate(a) -> int:
 
 def check(a) -> int:
     """0 if all metrics are within the threshold or missing, 2 if one is not or a column is missing."""
+    if not (a.y_pred or a.score):
+        a.y_pred = "y_pred"
     try:
         results = _analyse(read_table(_spark(), a.csv), a)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
+    if a.json:
+        write_text(a.json, to_json_report(results))
     failed = [r.metric for r in results if r.value is not None and r.value > a.threshold]
     missing = [r.metric for r in results if r.value is None]
     if a.out:
         write_text(a.out, json.dumps({"threshold": a.threshold, "failed": failed, "missing": missing, "values": {r.metric: r.value for r in results}}, indent=2))
+    if a.md:
+        write_text(a.md, to_markdown_report(results))
     print(to_markdown_report(results), "FAIL " + ", ".join(failed) if failed else "WARN " + ", ".join(missing) if missing else "PASS")
     return 2 if failed else 0
 
 
+def sample_check(a) -> int:
+    """0 if the file is there and can be read as a table with rows, 2 if not."""
+    try:
+        n = len(read_table(_spark(), a.csv).limit(1).collect())
+    except Exception as e:  # Spark tells a missing or broken file in many ways
+        print(str(e).split("\n")[0], file=sys.stderr)
+        return 2
+    print("ok" if n else "empty")
+    return 0 if n else 2
+
+
 def pipeline(a) -> int:
     from fairloom.pipeline.config import apply_pipeline, detect, load_config
 
     cfg = load_config(a.config, profile=a.profile)
     df = read_table(_spark(), a.csv)
-    report = detect(cfg, df)
-    if a.detector_json:
-        report.to_json(a.detector_json)
+    found = {}
+    if not a.no_detectors:
+        report = detect(cfg, df)
+        if a.detector_json:
+            report.to_json(a.detector_json)
+        found = report.to_dict() if a.report_md else {}
     out = apply_pipeline(cfg, df) if cfg.pipeline else df
-    write_table(out, a.out)
+    if a.out:
+        write_table(out, a.out)
     if a.report_md:
-        write_text(a.report_md, pipeline_markdown(a.config, a.csv, a.out, report.to_dict()))
+        write_text(a.report_md, pipeline_markdown(a.config, a.csv, a.out or "-", found))
     return 0
 
 
@@ -82,7 +103,8 @@ def train_lagrangian(a) -> int:
     from fairloom.training.trainers import feature_columns
 
     df = read_table(_spark(), a.csv)
-    t = LagrangianFairnessTrainer(constraint=a.constraint, tol=a.tol).fit(df, feature_columns(df), epochs=a.epochs)
+    tol = a.tol if a.tol is not None else a.dp_tol if a.constraint == "demographic_parity" else a.eo_tol
+    t = LagrangianFairnessTrainer(constraint=a.constraint, tol=tol, rate=a.model_lr, dual_rate=a.lambda_lr, batch_size=a.batch_size or None).fit(df, feature_columns(df), epochs=a.epochs)
     write_text(a.out, t.history_json())
     return 0
 
@@ -92,7 +114,7 @@ def train_regularized(a) -> int:
     from fairloom.training.trainers import feature_columns
 
     df = read_table(_spark(), a.csv)
-    points = sweep_pareto(df, feature_columns(df), etas=tuple(a.etas), epochs=a.epochs)
+    points = sweep_pareto(df, feature_columns(df), etas=tuple(float(x) for x in columns_of(a.etas)), epochs=a.epochs, rate=a.lr, order=a.order)
     write_text(a.out, json.dumps(points, indent=2))
     if a.png:
         plot_pareto(points, a.png)
@@ -128,7 +150,7 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("--csv", required=True)
         s.add_argument("--y-true", default="y_true" if name == "check" else None)
-        s.add_argument("--y-pred", default="y_pred" if name == "check" else None)
+        s.add_argument("--y-pred")
         s.add_argument("--score")
         s.add_argument("--sensitive", nargs="+", default=["sensitive"])
         s.add_argument("--backend", default="auto")
@@ -142,39 +164,50 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--threshold", type=float, default=0.10)
         s.add_argument("--title", default="Fairness report")
         s.add_argument("--out")
-        s.add_argument("--json")
+        s.add_argument("--json", "--out-json")
+        s.add_argument("--md", "--out-md", "--report-md")
         s.set_defaults(run=run)
+    s = sub.add_parser("sample-check")
+    s.add_argument("csv", nargs="?", default="dev_sample.csv")
+    s.set_defaults(run=sample_check)
     s = sub.add_parser("pipeline")
-    for o in ("--config", "--csv", "--out"):
+    for o in ("--config", "--csv"):
         s.add_argument(o, required=True)
+    s.add_argument("--out", "--out-csv")
+    s.add_argument("--no-detectors", action="store_true")
     for o in ("--profile", "--detector-json", "--report-md"):
         s.add_argument(o)
     s.set_defaults(run=pipeline)
     s = sub.add_parser("train-lagrangian")
     s.add_argument("--csv", required=True)
-    s.add_argument("--out", required=True)
-    s.add_argument("--constraint", default="demographic_parity")
-    s.add_argument("--tol", type=float, default=0.05)
-    s.add_argument("--epochs", type=int, default=5)
+    s.add_argument("--out", "--out-json", required=True)
+    s.add_argument("--constraint", "--fairness", default="demographic_parity")
+    s.add_argument("--tol", type=float)
+    for o, v in (("--dp-tol", 0.02), ("--eo-tol", 0.02), ("--model-lr", 1e-3), ("--lambda-lr", 1e-2)):
+        s.add_argument(o, type=float, default=v)
+    s.add_argument("--epochs", type=int, default=10)
+    s.add_argument("--batch-size", type=int, default=0, help="rows of a step, 0 for all")
     s.set_defaults(run=train_lagrangian)
     s = sub.add_parser("train-regularized")
     s.add_argument("--csv", required=True)
-    s.add_argument("--out", required=True)
-    s.add_argument("--etas", type=float, nargs="+", default=[0.0, 0.2, 0.5, 1.0])
-    s.add_argument("--epochs", type=int, default=20)
-    s.add_argument("--png")
+    s.add_argument("--out", "--out-json", required=True)
+    s.add_argument("--etas", nargs="+", default=["0.0,0.2,0.5,1.0"])
+    s.add_argument("--epochs", type=int, default=10)
+    s.add_argument("--lr", type=float, default=1e-3)
+    s.add_argument("--order", help="column by which the first 80 %% of the rows are trained on")
+    s.add_argument("--png", "--out-png")
     s.set_defaults(run=train_regularized)
     s = sub.add_parser("train-reduced")
     s.add_argument("--csv", required=True)
-    s.add_argument("--out", required=True)
+    s.add_argument("--out", "--out-csv", required=True)
     s.add_argument("--constraint", default="demographic_parity")
     s.add_argument("--eps", type=float, default=0.01)
     s.add_argument("--rounds", type=int, default=10)
     s.set_defaults(run=train_reduced)
     s = sub.add_parser("calibrate")
     s.add_argument("--csv", required=True)
-    s.add_argument("--out", required=True)
-    s.add_argument("--method", default="platt")
+    s.add_argument("--out", "--out-csv", required=True)
+    s.add_argument("--method", default="platt", choices=["platt", "isotonic"])
     s.add_argument("--min-samples", type=int, default=20)
     s.set_defaults(run=calibrate)
     a = p.parse_args(argv)

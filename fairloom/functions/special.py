@@ -6,11 +6,13 @@ Series and continued fractions after their textbook forms; small tails come from
 from __future__ import annotations
 
 from math import exp, inf, isnan, lgamma, log, log1p, nan
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_NORMAL = NormalDist()
 _EPS, _TINY, _STEPS = 1e-16, 1e-300, 10_000
 
 
@@ -132,3 +134,23 @@ def credible(successes: Column | str, trials: Column | str, level: float = 0.95,
         return pd.DataFrame([beta_binomial_interval(a, b, level=level, alpha=alpha, beta=beta) for a, b in zip(s, n)], columns=["lo", "hi"])
 
     return f(successes, trials)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution function of a column."""
+
+    @F.pandas_udf("double")
+    def f(v: pd.Series) -> pd.Series:
+        return v.map(_NORMAL.cdf, na_action="ignore")
+
+    return f(x)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Its inverse; infinite at 0 and 1, NULL outside."""
+
+    @F.pandas_udf("double")
+    def f(v: pd.Series) -> pd.Series:
+        return v.map(lambda q: None if not 0 <= q <= 1 else -inf if q == 0 else inf if q == 1 else _NORMAL.inv_cdf(q), na_action="ignore").astype("float64")
+
+    return f(p)

@@ -197,28 +197,42 @@ def representation_gof(spark: SparkSession, d: str) -> DataFrame:
     return c.join(t, "attribute").select("grp", "n", F.round("proportion", 8).alias("proportion"), F.round("expected", 6).alias("expected"), "gof")
 
 
-@query()
+_STATUS = {"F": 0.3, "O": 0.3, "P": 0.4}
+_DETECT = """c as (select o_orderpriority as f, o_orderstatus as a, count(*) as n from orders group by 1, 2),
+e as (select n, sum(n) over (partition by f) as r, sum(n) over (partition by a) as k, sum(n) over () as t from c),
+x as (select max(t) * (sum(n * n / (r * k)) - 1) as x, sqrt((sum(n * n / (r * k)) - 1) / 2) as v from e),
+g as (select o_orderstatus as a, count(*) as n, avg(o_totalprice) as m, var_samp(o_totalprice) as v from orders group by 1),
+t as (select sum(n) as n, sum(n * m) / sum(n) as mm from g),
+s as (select sum(g.n * (m - mm) ** 2) as b, sum((g.n - 1) * v) as w, max(t.n) - 3 as d2 from g, t),
+d as (select 'o_orderpriority' as feature, 'chi2' as test, exp(-x / 2) * (1 + x / 2 + (x / 2) ** 2 / 2 + (x / 2) ** 3 / 6) as p, 'cramers_v' as measure, v as strength from x
+  union all select 'o_totalprice', 'anova', (d2 / (d2 + 2 * (b / 2) / (w / d2))) ** (d2 / 2), 'eta_squared', b / (b + w) from s),
+o as (select o_orderstatus as grp, count(*) as n from orders group by 1), b(grp, share) as (values ('F', 0.3), ('O', 0.3), ('P', 0.4)),
+h as (select sum((n - e) ** 2 / (2 * (n + e)) * 2) as x from (select n, share * (select sum(n) from o) as e from o join b using (grp)))"""
+
+
+@query(f"""with {_DETECT} select feature, 'o_orderstatus' as attribute, test, round(p, 8) as pvalue, p < 0.05 as flagged from d""")
 def detector_disparity(spark: SparkSession, d: str) -> DataFrame:
-    """D2 for all plain columns of parts by type."""
-    return StatisticalDisparityDetector().run(_table(spark, d, "part"), ["p_type"], ["p_brand", "p_size", "p_retailprice"])
+    """D2: routing, p-values and flags; eight degrees of freedom and three groups have closed p-values."""
+    return _r(StatisticalDisparityDetector().run(_table(spark, d, "orders"), ["o_orderstatus"], ["o_orderpriority", "o_totalprice"]))
 
 
-@query()
+@query(f"""with {_DETECT} select feature, 'o_orderstatus' as attribute, measure, round(strength, 8) as strength, strength >= 0.3 as flagged from d""")
 def detector_proxy(spark: SparkSession, d: str) -> DataFrame:
-    """D3."""
-    return ProxyVariableDetector().run(_table(spark, d, "part"), ["p_type"], ["p_brand", "p_size", "p_retailprice"])
+    """D3, P11."""
+    return _r(ProxyVariableDetector().run(_table(spark, d, "orders"), ["o_orderstatus"], ["o_orderpriority", "o_totalprice"]))
 
 
-@query()
+@query(f"""with {_DETECT} select 'o_orderstatus' as attribute, round(exp(-x / 2), 8) as chi2_pvalue, exp(-x / 2) < 0.05 as flagged from h""")
 def detector_representation(spark: SparkSession, d: str) -> DataFrame:
-    """D1 with p-value and flag."""
-    return RepresentationBiasDetector().run(_table(spark, d, "customer"), ["c_mktsegment"], {"c_mktsegment": _BENCH}).select("attribute", "chi2_pvalue", "flagged")
+    """D1 with p-value and flag; two degrees of freedom."""
+    return _r(RepresentationBiasDetector().run(_table(spark, d, "orders"), ["o_orderstatus"], {"o_orderstatus": _STATUS}).select("attribute", "chi2_pvalue", "flagged"))
 
 
-@query()
+@query(f"""with {_DETECT} select (select cast(exp(-x / 2) < 0.05 as int) from h) as representation_flags, cast(sum(cast(p < 0.05 as int)) as int) as disparity_flags,
+  cast(sum(cast(strength >= 0.3 as int)) as int) as proxy_flags from d""")
 def detector_report(spark: SparkSession, d: str) -> DataFrame:
     """D9: the report's summary."""
-    r = run_detectors(_table(spark, d, "orders"), ["o_orderstatus"], {"o_orderstatus": {"F": 0.3, "O": 0.3, "P": 0.4}}, features=["o_orderpriority", "o_totalprice"]).to_dict()
+    r = run_detectors(_table(spark, d, "orders"), ["o_orderstatus"], {"o_orderstatus": _STATUS}, features=["o_orderpriority", "o_totalprice"]).to_dict()
     s = r["body"]["summary"]
     return spark.createDataFrame([(s["representation_flags"], s["disparity_flags"], s["proxy_flags"])], "representation_flags int, disparity_flags int, proxy_flags int")
 
@@ -357,7 +371,7 @@ def proxy_scores_lines(spark: SparkSession, d: str) -> DataFrame:
     return _r(proxy_scores(_table(spark, d, "lineitem"), ["l_linestatus", "l_tax"], ["l_discount", "l_returnflag", "l_linenumber"]), 6)
 
 
-@query()
+@query("""select l_linestatus, count(*) as n, 'copy' as dropped from lineitem group by 1""")
 def proxy_drop(spark: SparkSession, d: str) -> DataFrame:
     """T4: what is left of a table whose status gives away its copy; W6."""
     li = _table(spark, d, "lineitem").select("l_linestatus", "l_discount", F.concat_ws("-", F.lit("s"), "l_linestatus").alias("copy"))
@@ -401,21 +415,21 @@ def eo_violation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
-    c = _table(spark, d, "dev_sample").where("score between 0 and 1 and y_true in (0, 1)")
-    return c.select((F.col("score") * 2 - 1).alias("f0"), (F.pmod(F.xxhash64("rec_id"), F.lit(1000)) / 500 - 1).alias("f1"), F.col("y_true").alias("y"), (F.col("sensitive") == "A").cast("int").alias("s"))
+    c = _table(spark, d, "dev_sample")
+    return c.select((F.col("score") * 2 - 1).alias("f0"), F.col("y_pred").cast("double").alias("f1"), F.col("y_true").alias("y"), (F.col("sensitive") == "A").cast("int").alias("s"))
 
 
 @query()
 def train_lagrangian(spark: SparkSession, d: str) -> DataFrame:
     """R6."""
-    t = LagrangianFairnessTrainer(hidden=[8]).fit(_training(spark, d), ["f0", "f1"], epochs=3)
+    t = LagrangianFairnessTrainer().fit(_training(spark, d), ["f0", "f1"])
     return spark.createDataFrame([(h["epoch"], float(h["accuracy"]), float(h["violation"]), float(h["lambda"])) for h in t.history], "epoch int, accuracy double, violation double, lambda double")
 
 
 @query()
 def train_pareto(spark: SparkSession, d: str) -> DataFrame:
     """R7, R8, W8."""
-    pts = sweep_pareto(_training(spark, d), ["f0", "f1"], etas=(0.0, 0.5), epochs=3, hidden=8)
+    pts = sweep_pareto(_training(spark, d), ["f0", "f1"], order="f0")
     return spark.createDataFrame([(float(p["eta"]), float(p["accuracy"]), float(p["dp_diff"])) for p in pts], "eta double, accuracy double, dp_diff double")
 
 
@@ -423,23 +437,31 @@ def train_pareto(spark: SparkSession, d: str) -> DataFrame:
 def train_reductions(spark: SparkSession, d: str) -> DataFrame:
     """R1, R2: the groups' rates under the mixture."""
     t = _training(spark, d)
-    m = ReductionsWrapper(T=3).fit(t, ["f0", "f1"])
+    m = ReductionsWrapper().fit(t, ["f0", "f1"])
     return m.predict(t).groupBy("s").agg(F.count("*").alias("n"), F.avg("prediction_fair").alias("rate"))
 
 
-@query()
+def _calibrated(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """A fit with an intercept, and an isotonic one, keep the mean label of the rows they were learnt from."""
+    c = _table(spark, d, "dev_sample").select("rec_id", "score", F.col("y_true").alias("y"), F.col("sensitive").alias("g"))
+    out = GroupFairnessCalibrator(method).fit(c).transform(c)
+    used = (F.abs("score") < float("inf")) & F.col("y").isin(0, 1)
+    return _r(out.groupBy("g").agg(F.count("*").alias("n"), F.avg(F.when(used, F.col("score_cal"))).alias("mean_cal"), F.avg(F.when(used, F.col("y"))).alias("mean_y")), 6)
+
+
+_CALIBRATED = """with u as (select sensitive as g, case when y_true in (0, 1) and score is not null and not isnan(score) and not isinf(score) then y_true end as y, score as x from dev_sample)
+select g, count(*) as n, round(case when g is not null and count(y) >= 20{both} then avg(y) else avg(case when y is not null then x end) end, 6) as mean_cal, round(avg(y), 6) as mean_y from u group by 1"""
+
+
+@query(_CALIBRATED.format(both=" and avg(y) > 0 and avg(y) < 1"))
 def calibrate_platt(spark: SparkSession, d: str) -> DataFrame:
     """R9, R10."""
-    c = _table(spark, d, "dev_sample").where("score between 0 and 1 and y_true in (0, 1)").select("rec_id", "score", F.col("y_true").alias("y"), F.col("sensitive").alias("g"))
-    out = GroupFairnessCalibrator("platt").fit(c).transform(c)
-    return out.groupBy("g").agg(F.count("*").alias("n"), F.avg("score_cal").alias("mean_cal"), F.avg("y").alias("mean_y"))
+    return _calibrated(spark, d, "platt")
 
 
-@query()
+@query(_CALIBRATED.format(both=""))
 def calibrate_isotonic(spark: SparkSession, d: str) -> DataFrame:
-    c = _table(spark, d, "dev_sample").where("score between 0 and 1 and y_true in (0, 1)").select("rec_id", "score", F.col("y_true").alias("y"), F.col("sensitive").alias("g"))
-    out = GroupFairnessCalibrator("isotonic").fit(c).transform(c)
-    return out.groupBy("g").agg(F.count("*").alias("n"), F.avg("score_cal").alias("mean_cal"), F.avg("y").alias("mean_y"))
+    return _calibrated(spark, d, "isotonic")
 
 
 @query("""select cast(count(try_cast(props as double)) as bigint) as numbers, count(distinct event_type) as kinds from events""")
@@ -448,19 +470,25 @@ def coerced_numbers(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").agg(F.count(to_number(F.col("props"))).alias("numbers"), F.count_distinct("event_type").alias("kinds"))
 
 
-@query("""with r as (select date_trunc('hour', ts) as window_start, event_type as grp, case when value > 10 then 1 else 0 end as p from events),
+_WINDOWS = """with r as (select date_trunc('hour', ts) as window_start, event_type as grp, case when value > 10 then 1 else 0 end as p from events),
 g as (select window_start, grp, avg(p) as rate from r group by 1, 2 having count(*) >= 5)
-select window_start, round(case when count(*) >= 2 then max(rate) - min(rate) end, 8) as dpd, count(*) as n_groups from g group by 1""")
+select window_start, round(case when count(*) >= 2 then max(rate) - min(rate) end, 8) as dpd, count(*) as n_groups from g {closed} group by 1"""
+
+
+def _windows(g: DataFrame) -> DataFrame:
+    return _r(g.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "dpd", "n_groups"))
+
+
+@query(_WINDOWS.format(closed=""))
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The gap of each hour, from the sums a stream keeps."""
     from fairloom.streaming.windows import gaps, windowed_group_sums
 
     e = _table(spark, d, "events").withColumn("y_pred", (F.col("value") > 10).cast("int"))
-    g = gaps(windowed_group_sums(e, "ts", "event_type", "y_pred"), 5).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "dpd", "n_groups")
-    return _r(g)
+    return _windows(gaps(windowed_group_sums(e, "ts", "event_type", "y_pred"), 5))
 
 
-@query()
+@query(_WINDOWS.format(closed="where window_start + interval 1 hour <= (select max(ts) from events) - interval 10 minutes"))
 def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
     """The same as a stream that reads all events once and writes each window when it has closed."""
     import uuid
@@ -476,4 +504,4 @@ def stream_monitor(spark: SparkSession, d: str) -> DataFrame:
     at = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
     q = monitor(e.withColumn("y_pred", (F.col("value") > 10).cast("int")), "ts", "event_type", "y_pred", f"{at}/out", f"{at}/state", min_group_size=5)
     q.awaitTermination()
-    return spark.read.schema("window_start timestamp, dpd double, eod double, n_groups long").option("recursiveFileLookup", True).parquet(f"{at}/out")
+    return _windows(spark.read.schema("window_start timestamp, dpd double, eod double, n_groups long").option("recursiveFileLookup", True).parquet(f"{at}/out"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairloom.operators.grouping import finite
+
 
 def init(sizes: list[int], seed: int) -> list[np.ndarray]:
     """Weights and biases of layers, uniform within 1 / sqrt(inputs)."""
@@ -68,7 +70,7 @@ def partition_sums(df: DataFrame, cols: list[str], fn: Callable[[np.ndarray], np
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
 
-    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(cols)]).dropna()
+    doubles = df.select(*[finite(df, c).alias(str(i)) for i, c in enumerate(cols)]).dropna()
     rows = doubles.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # parameters, not rows
     return np.array([r["v"] for r in rows])
 

@@ -111,3 +111,12 @@ def test_config_and_command_line(spark, tmp_path):
     assert main(["check", "--csv", csv, "--y-true", "y", "--y-pred", "x2", "--sensitive", "group", "--min-group-size", "1", "--threshold", "0.9"]) in (0, 2)
     assert main(["check", "--csv", csv, "--sensitive", "nope"]) == 2
     assert main(["version"]) == 0
+    assert main(["check", "--csv", csv, "--y-true", "y", "--score", "x1", "--sensitive", "group", "--min-group-size", "1", "--threshold", "9", "--json", str(tmp_path / "q.json"), "--md", str(tmp_path / "q.md")]) == 0
+    assert json.loads((tmp_path / "q.json").read_text()) and "demographic" in (tmp_path / "q.md").read_text()
+    assert main(["pipeline", "--config", str(conf), "--csv", csv, "--out-csv", str(tmp_path / "o2.csv"), "--no-detectors", "--report-md", str(tmp_path / "r2.md")]) == 0
+    assert main(["sample-check", csv]) == 0 and main(["sample-check", str(tmp_path / "none.csv")]) == 2
+    flat = str(tmp_path / "t.csv")
+    spark.range(60).selectExpr("id % 7 / 7.0 f0", "id % 5 / 5.0 f1", "cast(id % 2 as int) y", "cast(id % 3 = 0 as int) s").toPandas().to_csv(flat, index=False)
+    assert main(["train-lagrangian", "--csv", flat, "--fairness", "equal_opportunity", "--eo-tol", "0.1", "--model-lr", "0.01", "--lambda-lr", "0.1", "--epochs", "1", "--batch-size", "30", "--out-json", str(tmp_path / "h.json")]) == 0
+    assert main(["train-regularized", "--csv", flat, "--etas", "0.0,0.5", "--epochs", "1", "--lr", "0.01", "--out-json", str(tmp_path / "p.json")]) == 0
+    assert [p["eta"] for p in json.loads((tmp_path / "p.json").read_text())] == [0.0, 0.5]

@@ -91,3 +91,53 @@ def test_sources(spark, tmp_path):
         write_table(dev_sample(spark, 50), p)
         assert read_table(spark, p).count() == 50
     assert benchmark_sample(spark, 100).columns == ["race", "gender", "age_group", "y_true", "y_pred", "y_reg", "y_hat"]
+
+
+def test_batches_orders_and_rows_that_teach_nothing(spark, data):
+    t = LagrangianFairnessTrainer(hidden=[8], rate=0.02, batch_size=100).fit(data, ["f0", "f1"], epochs=2)
+    assert len(t.history) == 2 and t.history[-1]["accuracy"] > 0.5
+    dirty = data.select("f0", "f1", "y", "s").unionByName(spark.createDataFrame([(None, 1.0, 1, 0), (float("inf"), 1.0, 1, 0), (float("nan"), 0.0, 0, 1), (0.1, 0.1, None, 0), (0.1, 0.1, 7, 1), (0.1, 0.1, 1, None)], "f0 double, f1 double, y int, s int"))
+    clean = LagrangianFairnessTrainer(hidden=[4]).fit(data, ["f0", "f1"], epochs=2)
+    assert np.allclose([h["accuracy"] for h in LagrangianFairnessTrainer(hidden=[4]).fit(dirty, ["f0", "f1"], epochs=2).history], [h["accuracy"] for h in clean.history])
+    ranked = spark.createDataFrame([(float(i), int(i >= 80), i % 2, i) for i in range(100)], "f0 double, y int, s int, at int")
+    pts = sweep_pareto(ranked, ["f0"], etas=(0.0,), epochs=1, hidden=2, order="at")  # trained on the first 80, all of label 0
+    assert len(pts) == 1
+    m = ReductionsWrapper(T=2).fit(dirty, ["f0", "f1"])
+    assert m.predict_proba(dirty).where("probability_fair is null").count() == 3
+
+
+def test_isotonic_in_parts_is_isotonic_at_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(np.round(rng.beta(2, 3), 2)) if g == "tied" else float(x), int(rng.random() < x), g) for g in ("tied", "free") for x in rng.random(400)]
+    df = spark.createDataFrame(rows, "score double, y int, g string")
+    out = []
+    for part in (7, 100_000):
+        c = GroupFairnessCalibrator("isotonic", part=part).fit(df)
+        out.append(sorted((r["g"], r["score"], round(r["score_cal"], 9)) for r in c.transform(df.unionByName(spark.createDataFrame([(-1.0, 0, "free"), (9.0, 1, "free")], df.schema))).collect()))
+    assert out[0] == out[1]
+    for g in ("tied", "free"):
+        y = [p for h, _, p in out[0] if h == g]
+        assert y == sorted(y)
+
+
+def test_models_survive_their_session(spark, data, tmp_path):
+    from fairloom.operators.mitigation import DisparateImpactRemover, ProxyDropper, ReweighingTransformer
+    from fairloom.pipeline.models import load, save
+
+    df = spark.createDataFrame([(i % 3 / 2, i % 2, "ab"[i % 2], float(i % 17)) for i in range(200)], "score double, y int, g string, x double")
+    fitted = [ReweighingTransformer(["g"]).fit(df), DisparateImpactRemover("g", ["x"]).fit(df), ProxyDropper(["g"], ["x", "y"]).fit(df), GroupFairnessCalibrator("isotonic").fit(df), GroupFairnessCalibrator("platt").fit(df)]
+    fitted.append(LagrangianFairnessTrainer(hidden=[3]).fit(data, ["f0", "f1"], epochs=1))
+    for i, m in enumerate(fitted):
+        save(m, str(tmp_path / f"m{i}"), spark)
+        src = data.select("f0", "f1", "y") if i == 5 else df
+        a, b = (sorted(str(r) for r in x.transform(src).collect()) for x in (m, load(str(tmp_path / f"m{i}"), spark)))
+        assert a == b
+    with pytest.raises(ValueError):
+        save(3, str(tmp_path / "no"), spark)
+
+
+def test_normal_columns(spark):
+    from fairloom.functions.special import normal_cdf, normal_quantile
+
+    r = spark.createDataFrame([(0.0, 0.975), (1.96, 0.0), (None, 2.0)], "x double, p double").select(normal_cdf(F.col("x")), normal_quantile(F.col("p"))).collect()
+    assert r[0][0] == 0.5 and r[0][1] == pytest.approx(1.959964) and r[1][0] == pytest.approx(0.9750021) and r[1][1] == -np.inf and r[2][0] is None and r[2][1] is None
