@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairloom.llm import bpe, packing, percentiles, sampling, truncation
 
@@ -51,6 +52,13 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).report()
 
 
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn records of each target row are those wanted, or what the load has, or at most the expected number rounded up."""
+    r = _sample(spark, d).report()
+    least = F.least("wanted", "available")
+    return r.select("plan_id", "sensitive", "y_true", "size", "wanted", "available", "minima_exceed", (F.col("drawn").between(least, F.greatest(least, "most_by_share"))).alias("as_wanted"), F.round("share_wanted", 2).alias("share_wanted"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(_table(spark, d, "documents"))
 
@@ -82,7 +90,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_percentiles, p4_merged_loads, p4_days, p6_found, p6_sample, p6_report, p7_ids, p8_packed, p8_summary, p9_found, p9_judged, p9_rates)}
+    return {f.__name__: f for f in (p4_percentiles, p4_merged_loads, p4_days, p6_found, p6_sample, p6_report, p6_counts, p7_ids, p8_packed, p8_summary, p9_found, p9_judged, p9_rates)}
 
 
 _RANKED = """select {key}, score, row_number() over (partition by {key} order by score) as i, count(*) over (partition by {key}) as n
@@ -96,10 +104,26 @@ r as (select t.*, coalesce(a.available, 0) as available from t left join a
   on t.load_id = a.load_id and t.sensitive is not distinct from a.sensitive and t.y_true is not distinct from a.y_true)"""
 
 
+# a bucket is what the leading 20 bits of a double have in common, taken from its bits as a signed whole number
+_STATE = """with v as (select {key}, case when score = 0 then 0.0 else score end as x from {source} where score is not null and not isnan(score)),
+e as (select *, abs(x) as a, case when x <> 0 and not isinf(x) then cast(floor(log2(abs(x))) as integer) end as e0 from v),
+f as (select {key}, x, a, e0 + case when a >= pow(2.0, e0 + 1) then 1 when a < pow(2.0, e0) then -1 else 0 end as e from e),
+k as (select {key}, x, case when isinf(x) then 2047 * 4503599627370496 when x = 0 then 0 else (e + 1023) * 4503599627370496 + cast((a / pow(2.0, e) - 1) * 4503599627370496 as bigint) end as b from f),
+b as (select {key}, x, case when x >= 0 then b // 17592186044416 else -((b + 17592186044415) // 17592186044416) end as bucket from k),
+r as (select {key}, x, bucket, row_number() over (partition by {key} order by x) as i, count(*) over (partition by {key}) as n,
+  min(x) over (partition by {key}, bucket) as lower, max(x) over (partition by {key}, bucket) as upper from b), p as (select unnest({points}) as p_bp)
+select {key}, p_bp, n, lower, upper from r join p on i = greatest((n * p_bp + 9999) // 10000, 1)"""
+_P6_COUNTS = f"""{_P6} select r.plan_id, r.sensitive, r.y_true, s.size, r.wanted, r.available, s.needs > s.size as minima_exceed, true as as_wanted, s2.share_wanted from r
+join (select plan_id, cast(max(sample_size) as bigint) as size, sum(wanted) as needs from r join (select distinct plan_id, sample_size from sample_targets) using (plan_id) group by 1) s using (plan_id)
+join (select plan_id, sensitive, y_true, round(max(target_share), 2) as share_wanted from sample_targets group by all) s2
+  on r.plan_id = s2.plan_id and r.sensitive is not distinct from s2.sensitive and r.y_true is not distinct from s2.y_true"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_percentiles": _P4,
+        "p4_merged_loads": _STATE.format(key="sensitive", source="dev_sample", points=POINTS),
+        "p4_days": _STATE.format(key="load_day", source="(select load_day, score from dev_sample join load_log using (load_id))", points=[5000]),
         "p6_found": f"{_P6} select plan_id, sensitive, y_true from r where available < wanted",
+        "p6_counts": _P6_COUNTS,
     }
-
-

@@ -89,9 +89,20 @@ class StratifiedSample:
         return r.select(F.col("plan__").alias(self.plan), F.col("load__").alias(self.stratum), *[F.col(k).alias(c) for c, k in zip(self.categories, self.cats)], F.col("rec__").alias(self.record), "how")
 
     def report(self) -> DataFrame:
-        """Each target row with wanted, available and drawn records and unmet: drawn < wanted."""
+        """Each target row with the share and records wanted, those available and drawn, and unmet: drawn < wanted; and of its plan the size, all records drawn
+        (total), the share of them that this row has (share_drawn, NULL in an empty sample), and minima_exceed: the rows' wishes together are more than the size;
+        most_by_share is the expected number rounded up, which systematic sampling can reach.
+
+        A minimum above the share comes on top of the size, and what a load lacks is not drawn from other categories, so total can be above or below the size.
+        """
         named = [F.col(k).alias(c) for c, k in zip(self.categories, self.cats)]
         back = [F.col(c).alias(k) for c, k in zip(self.categories, self.cats)]
         d = self.drawn().select(F.col(self.plan).alias("plan__"), F.col(self.stratum).alias("load__"), *back).groupBy("plan__", "load__", *self.cats).agg(F.count("*").alias("drawn__"))
         p = self._match(self._planned(), d, "left", ("plan__", "load__")).withColumn("drawn__", F.coalesce("drawn__", F.lit(0)))
-        return p.select(F.col("plan__").alias(self.plan), F.col("load__").alias(self.stratum), *named, F.col("need__").alias("wanted"), F.col("avail__").alias("available"), F.col("drawn__").alias("drawn"), (F.col("drawn__") < F.col("need__")).alias("unmet"))
+        whole = Window.partitionBy("plan__")  # a plan's target rows, not its records
+        p = p.withColumn("total__", F.sum("drawn__").over(whole)).withColumn("needs__", F.sum("need__").over(whole)).withColumn("size__", F.max("size__").over(whole))
+        return p.select(
+            F.col("plan__").alias(self.plan), F.col("load__").alias(self.stratum), *named, (F.col("pct__") / 100).alias("share_wanted"), F.try_divide("drawn__", "total__").alias("share_drawn"),
+            F.col("need__").alias("wanted"), F.col("avail__").alias("available"), F.col("drawn__").alias("drawn"), (F.col("drawn__") < F.col("need__")).alias("unmet"),
+            F.col("size__").alias("size"), F.col("total__").alias("total"), (F.col("needs__") > F.col("size__")).alias("minima_exceed"), F.least("avail__", F.ceil(F.col("expect__") / 100)).alias("most_by_share"),
+        )
