@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairloom.functions.expressions import column_expressions, induce, whole
-from fairloom.functions.flooding import Field, correspondences
-from fairloom.operators.drift import SchemaDrift
+from fairloom.functions.flooding import Field, Value, correspondences
+from fairloom.operators.drift import SchemaDrift, _totals
 from fairloom.operators.hot_keys import hot_keys, key_statistics
 from fairloom.operators.nested import link, nodes, values_of
 from fairloom.operators.profile import ColumnProfile, Rule, issues
@@ -293,6 +293,41 @@ def test_sketches_of_spread_files_agree(spark):
     assert a == b and len(a) == 256
 
 
+def _many(name, first, feed=1, seq=1):
+    """A file of 3,000 records with names ending in name: a code that is long text but for ten records, amounts of which one is by far the greatest, and a number."""
+    codes = [f"c{chr(97 + i)}" for i in range(10)]
+    text = lambda i: " ".join("abcdefgh"[(i >> (3 * j)) & 7] * 9 for j in range(4)) + " long words" * 20
+    low, top = (1, 5e6) if name == "" else (1.001, 9.0)
+    return _file(feed, first, seq, *[{"a": {f"code{name}": codes[i] if i < 10 else text(i), f"amount{name}": top if i == 1500 else low + i / 400, "n": i}} for i in range(3000)])
+
+
+def test_large_files_are_compared_by_all_their_values(spark):
+    rows = _many("", 1) + _file(1, 2, 2, *[{"a": {"codeNew": f"c{chr(97 + i % 10)}", "amountNew": 1.001 + i / 40, "n": i}} for i in range(300)])
+    rows += _many("", 3, 2) + _many("New", 4, 2, 2) + _file(3, 5, 1, {"b": 1})
+    df = spark.createDataFrame(rows, "feed_id long, file_id long, file_seq int, payload string").repartition(6)
+    drift = SchemaDrift(df)
+    amount = {(f, "removed", "a.amount", "") for f in (2, 4)} | {(f, "added", "", "a.amountNew") for f in (2, 4)}  # 5e6 against less than 10
+    assert {tuple(r) for r in drift.changes().collect()} == {(2, "renamed", "a.code", "a.codeNew"), (4, "renamed", "a.code", "a.codeNew")} | amount
+    # totals and shared values are those of all values
+    keyed = drift.fields.select(F.col("file").alias("key"), F.col("path").alias("field"), "*")
+    whole, common = drift._whole(keyed, keyed, spark.createDataFrame([(2, 1), (4, 3), (5, 3)], "key long, before long"))
+    of = defaultdict(set)
+    for _, f, _, p in rows:
+        for k, v in json.loads(p)["a" if f != 5 else "b"].items() if f != 5 else []:
+            of[f, f"a.{k}"].add(Value.of(v if isinstance(v, str) else json.dumps(v), None if isinstance(v, str) else v))
+    full = {k: Field(k[1], "", tuple(v)) for k, v in of.items()}
+    got = {(r["key"], r["field"]): _totals(r["whole"]) for r in whole.collect()}
+    assert set(full) <= set(got) and all(tuple(got[k]) == pytest.approx(tuple(f.totals)) for k, f in full.items())
+    shared = {(r["key"], c["old"], c["new"]): (c["values"], c["shapes"]) for r in common.collect() for c in r["common"] if r["key"] != 5}
+    for f, b in ((2, 1), (4, 3)):
+        for (k, x), (m, y) in ((p, q) for p in full for q in full if p[0] == b and q[0] == f and p[1] != q[1]):
+            want = len(full[k, x].hashes & full[m, y].hashes), sum(s & 1 for s in full[k, x].shapes & full[m, y].shapes)
+            assert shared.get((f, x, y), (0, 0)) == want
+    # feeds too are compared by all values
+    feeds = spark.createDataFrame(_many("", 1) + _file(2, 2, 1, *[{"a": {"codeNew": f"c{chr(97 + i)}", "n": i}} for i in range(10)]), "feed_id long, file_id long, file_seq int, payload string")
+    assert set(SchemaDrift(feeds).unified(["file_id"]).columns) == {"file_id", "a.code", "a.amount", "a.n"}
+
+
 def test_correspondences_are_one_to_one():
     old = [Field.of("a.alpha", "number", ("0.1", "0.05")), Field.of("a.flags", "integer", ("0", "1", "2")), Field.of("a.text", "string", ("by hand",))]
     new = [Field.of("b.alpha", "number", ("0.1",)), Field.of("b.flags", "integer", ("1", "0")), Field.of("b.rows", "integer", ("91234", "80000")), Field.of("a.when", "string", ("2024-01-01",))]
