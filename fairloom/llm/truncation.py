@@ -6,9 +6,10 @@ beginnings. Then every text is looked up among all others and judged.
 Near-copies. A cut copy is a beginning of its original, so its similarity to the whole original can be any; its similarity to the beginning of the same
 length is that of a near-copy. Each text has a signature (shingles of five words) for its first 6, 12, 24, ... words; a text asks with its longest
 one, and all texts answer. Within a bucket the copies must hold the five words before the asking text's last one: bucket and these
-words are an equi-join, in which answers with the same continuation stand for each other, once by the fifteen words before (a copy without an edit there is
-never hidden behind other texts) and once without them, so no bucket is ever paired with itself. What is left is verified (SIMILAR of the shorter text's shingles are in the longer one) and aligned: a text whose end lies inside a word or line of the
-copy is cut.
+words are an equi-join, so no bucket is ever paired with itself. Every answer counts: only answers with all words up to there in common stand for each other
+(the one whose line goes on farthest, and another one in case it is the asking text), and only those are left out whose sizes, or whose parities of shingles,
+show that they can't be similar. The most promising pair of each text is verified first (SIMILAR of the shorter text's shingles are in the longer one) and
+aligned, then all others that could still change the result: a text whose end lies inside a word or line of a copy is cut.
 
 Terminality. All other texts are judged by the odds that a cut, which leaves any beginning of any text, leaves this closing token in this place of
 its line, against the odds that a text ends with it: signs at which the corpus passes the token (or words that begin with it) to lines, items and
@@ -40,6 +41,8 @@ SHINGLE, BANDS, ROWS, SIMILAR = 5, 4, 3, 0.8
 SHORTEST, WHOLE, SLACK = 6, 3, 0.25
 #: Asking texts of a bucket whose words are brought to the answers; where more ask, the answers' words are brought to them, which moves less.
 ASKS = 64
+#: Words of 64 bits that hold the parities of a beginning's shingles.
+PARITIES = 4
 #: Share of cut texts before anything is known; share at which a sign of omission stands behind a cut.
 PRIOR, MARKED = 0.1, 0.7
 #: Uses that the place and shape of a token count for, beside its own; other lines that make a closing line a token of its own, if they are this part of the
@@ -130,10 +133,16 @@ def _shingles(mixed: np.ndarray) -> np.ndarray:
     return sh
 
 
-def _goes_on(text: str, end: int, own: str = "") -> bool:
-    """Whether the line that holds the text's word ending at end has more words, after signs like own."""
-    line = text[end:].split("\n", 1)[0]
-    return bool(_WORD.search(line[len(own) :]))
+def _rest(text: str, end: int) -> int:
+    """Up to where the line that holds the text's word ending at end has words after it, in characters from there; 0: none."""
+    stop = text.find("\n", end)
+    return max((m.end() for m in _WORD.finditer(text[end : stop if stop >= 0 else len(text)])), default=0)
+
+
+def _own(text: str) -> int:
+    """How many signs follow a text's last word."""
+    own = text.rstrip()
+    return len(own) - len(own.rstrip(".,;:!?\"'”’»)]*_…>-"))
 
 
 def aligned_end(short: str, long: str) -> str:
@@ -151,9 +160,42 @@ def aligned_end(short: str, long: str) -> str:
     sets = [{tuple(x[k : k + SHINGLE]) for k in range(len(x) - SHINGLE + 1)} for x in (a[:-1], b[: i + SHINGLE])]
     if len(sets[0] & sets[1]) < SIMILAR * len(sets[0] | sets[1]):
         return ""
-    own = short.rstrip()
-    own = own[len(own.rstrip(".,;:!?\"'”’»)]*_…>-")) :]
-    return "cut" if b[i + SHINGLE] != a[-1] or _goes_on(long, spans[i + SHINGLE][1], own) else "end"
+    return "cut" if b[i + SHINGLE] != a[-1] or _rest(long, spans[i + SHINGLE][1]) > _own(short) else "end"
+
+
+def _begun(mixed: np.ndarray, shingles: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For texts of n words, one after the other: keys of all words up to each word k of a text; whether the SHINGLE words before k come once in it; the number of
+    distinct shingles that end before k, and their parities: bits of PARITIES words, each changed by the shingles whose key names it. Two sets differ in as
+    many shingles as bits, or more. All are 0 where k < SHINGLE."""
+    start, text = np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(n)), n)
+    order = np.arange(len(mixed)) - start
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(mixed ^ _mix(order.astype(np.uint64) + _GOLD)))])
+    # the shingle before each word, and the first of each text's equal ones
+    at = np.flatnonzero(order >= SHINGLE)
+    own = _mix(shingles[at - SHINGLE] + text[at].astype(np.uint64) * _GOLD)
+    by = np.argsort(own, kind="stable")
+    edge = np.concatenate([[True], own[by][1:] != own[by][:-1], [True]])
+    new, once = np.zeros(len(mixed), bool), np.zeros(len(mixed), bool)
+    new[at[by[edge[:-1]]]] = True
+    once[at[by[edge[:-1] & edge[1:]]]] = True
+    bit = _mix(shingles[at - SHINGLE]) % np.uint64(64 * PARITIES)
+    one = np.where(new[at], np.uint64(1) << (bit % np.uint64(64)), np.uint64(0))
+    count, odd = np.concatenate([[0], np.cumsum(new)]), []
+    for j in range(PARITIES):
+        x = np.zeros(len(mixed) + 1, np.uint64)
+        x[at + 1] = np.where(bit // np.uint64(64) == j, one, np.uint64(0))
+        x = np.bitwise_xor.accumulate(x)
+        odd.append((x[1:] ^ x[start]).view(np.int64))
+    return (sums[1:] - sums[start]).view(np.int64), once, count[1:] - count[start], *odd
+
+
+def _among(tails: np.ndarray, wanted: list[int] | None) -> np.ndarray:
+    """Places of the wanted ones; None: all."""
+    if wanted is None or not len(tails):
+        return np.arange(len(tails))
+    if len(wanted) > 8:
+        return np.flatnonzero(np.isin(tails, wanted))
+    return np.flatnonzero(np.logical_or.reduce([tails == w for w in wanted]))
 
 
 class Truncation:
@@ -162,12 +204,12 @@ class Truncation:
         self.id_type = df.schema[id_col].dataType
         self.texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"))
         self.all = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
-        self.read = stage(self._read(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"), F.col(source_col).cast("string").alias("source"))))
+        self.read = stage(self._read(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("x"), F.col(source_col).cast("string").alias("source")).withColumn("exact", F.xxhash64("x"))))
         self.docs = stage(self.read.where("w is null").drop("w", "n", "prose", "other", "tail", "depth", "bands").dropDuplicates(["id"]))
         self.uses = stage(self.read.where("w is not null").groupBy("w").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"), F.sum("other").alias("other")))
 
     def _read(self, rows: DataFrame) -> DataFrame:
-        fields = [("source", "string"), ("opened", "array<string>"), ("open", "string"), ("place", "string"), ("shape", "string"), ("closing", "string"), ("line", "string"), ("marked", "boolean"), ("chars", "long"), ("bytes", "long")]
+        fields = [("source", "string"), ("exact", "long"), ("opened", "array<string>"), ("open", "string"), ("place", "string"), ("shape", "string"), ("closing", "string"), ("line", "string"), ("marked", "boolean"), ("chars", "long"), ("bytes", "long")]
         fields += [("body", "long"), ("tail", "long"), ("depth", "long"), ("bands", "array<long>"), ("w", "string"), ("n", "long"), ("prose", "long"), ("other", "long")]
         arrow = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
         names, kinds = ["id", *(f for f, _ in fields)], [arrow[k] for _, k in fields]
@@ -201,11 +243,11 @@ class Truncation:
                         yield counted()
                 depth, keys, body, tail = signatures(lists, memory)
                 at = pa.array(keep)
-                cols = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds[1:10])]
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds[2:11])]
                 ends = np.concatenate([[0], np.cumsum(np.minimum(depth, WHOLE) + np.maximum(depth - WHOLE, 0) * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
                 rest = [pa.array(body.view(np.int64)), pa.array(tail.view(np.int64)), pa.array(depth), bands]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), *cols, *rest, *[pa.nulls(len(keep), k) for k in kinds[-4:]]], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), b.column(3).take(at), *cols, *rest, *[pa.nulls(len(keep), k) for k in kinds[-4:]]], names)
             if id_arrow is not None and len(uses):
                 yield counted()
 
@@ -213,9 +255,9 @@ class Truncation:
 
     def copies(self) -> DataFrame:
         """(id, copy_cut) of the texts that have a near-copy of which they are a part: true if one of the copies goes on inside a word or line."""
-        b = self.read.where("depth > 0").select("id", "body", "tail", "depth", F.posexplode("bands").alias("i", "band"))
+        b = self.read.where("depth > 0").select("id", "body", "exact", "tail", "depth", F.posexplode("bands").alias("i", "band"))
         b = b.withColumn("level", F.expr(f"cast(if(i < {WHOLE}, i, {WHOLE} + (i - {WHOLE}) div {BANDS}) as int)"))
-        b = b.select("id", "body", "tail", "band", "level", (F.col("level") == F.col("depth") - 1).alias("own"))
+        b = b.select("id", "body", "exact", "tail", "band", "level", (F.col("level") == F.col("depth") - 1).alias("own"))
         # buckets in which a text asks and another one may answer
         live = b.groupBy("band").agg(F.min("body").alias("p"), F.max("body").alias("q"), F.count(F.when(F.col("own"), 1)).alias("asks")).where("asks > 0 and p <> q").select("band", "asks")
         live = stage(live)
@@ -224,24 +266,49 @@ class Truncation:
         live = stage(live.join(few, "band", "left").select("band", "tails"))
         words = live.agg(F.sum(1 + F.coalesce(F.size("tails"), F.lit(0)))).first()[0] or 0  # the lists count by their length
         b = b.join(broadcast_if_small(live, words), "band")
-        each = stage(b.groupBy("body").agg(F.min("id").alias("e_id"), F.collect_set(F.struct("band", "level", "own", "tails")).alias("at")))  # a text's own buckets
+        each = stage(b.groupBy("body", "exact").agg(F.min("id").alias("e_id"), F.collect_set(F.struct("band", "level", "own", "tails")).alias("at")))  # a text's own buckets
         texts = self.texts.join(broadcast_if_small(each, each.count()), F.col("id") == F.col("e_id"))
-        anchors = stage(self._anchors(texts.select("id", "body", "at", "x")))
-        asks = anchors.where("own").select("band", "tail", "before", F.col("id").alias("short"), "body", F.col("next").alias("last"))
-        pairs = None
-        for keys in (["band", "tail", "before"], ["band", "tail"]):
-            # texts that go on alike after the same words of a bucket stand for each other; two of them, in case one is the asking text itself
-            answers = anchors.where("not own").groupBy(*keys, "next", "goes_on").agg(F.min(F.struct("body", "id")).alias("a"), F.max(F.struct("body", "id")).alias("b"))
-            p = asks.join(answers, keys).where(F.col("next").startswith(F.col("last")))
-            one = F.when(F.col("a.body") != F.col("body"), F.col("a.id")).when(F.col("b.body") != F.col("body"), F.col("b.id"))
-            p = p.select("short", "body", one.alias("long")).where("long is not null")
-            pairs = p if pairs is None else pairs.unionByName(p)
-        pairs = stage(pairs.distinct())
-        # only the texts of pairs travel; the pairs go to the texts as long as they are few
-        n = pairs.count()
-        short = self.texts.join(broadcast_if_small(pairs, n), F.col("id") == F.col("short")).select("body", "long", F.col("x").alias("a"))
-        longs = broadcast_if_small(pairs.select("long").distinct(), n)
-        long = self.texts.join(longs, F.col("id") == F.col("long"), "left_semi").select(F.col("id").alias("long"), F.col("x").alias("b"))
+        anchors = stage(self._anchors(texts.select("id", "body", "exact", "at", "x")))
+        parity = [f"p{i}" for i in range(PARITIES)]
+        asks = anchors.where("own").select("band", "tail", F.col("id").alias("short"), F.col("body").alias("a_body"), F.col("next").alias("last"), F.col("rest").alias("signs"), F.col("size").alias("a_size"), *[F.col(c).alias(f"a_{c}") for c in parity])
+        # answers with one beginning stand for each other: the line that goes on farthest decides
+        alike = ["band", "tail", "next", "same"]
+        answers = anchors.where("not own").groupBy(*alike, "body").agg(F.max(F.struct("rest", "id")).alias("r"), *[F.first(c).alias(c) for c in ("size", *parity)])
+        by = Window.partitionBy(*alike).orderBy(F.desc("r.rest"), "body")
+        answers = answers.withColumn("rank", F.row_number().over(by)).withColumn("top", F.first("body").over(by)).where("rank <= 2")
+        answers = stage(answers.select("band", "tail", "next", "body", F.col("r.rest").alias("rest"), F.col("r.id").alias("long"), "size", *parity, F.when(F.col("rank") == 2, F.col("top")).alias("top")))
+
+        def candidates(asks: DataFrame) -> DataFrame:
+            """(short, long, cut, differ): the pairs that may be similar, what an alignment there says, and their least share of shingles that differ."""
+            p = asks.join(answers, ["band", "tail"]).where(F.col("next").startswith(F.col("last")) & (F.col("body") != F.col("a_body")) & (F.col("top").isNull() | (F.col("top") == F.col("a_body"))))
+            odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"a_{c}"))) for c in parity), F.lit(0))
+            p = p.withColumn("differ", F.greatest(odd, F.abs(F.col("size") - F.col("a_size"))) / (F.col("size") + F.col("a_size")))
+            # the sets differ in (1 - s) / (1 + s) of the sum of their sizes if their similarity is s
+            p = p.where(F.col("differ") <= (1 - SIMILAR) / (1 + SIMILAR) + 1e-9)
+            return p.select("short", "long", ((F.col("next") != F.col("last")) | (F.col("rest") > F.col("signs"))).alias("cut"), "differ")
+
+        first = candidates(asks).groupBy("short", "cut").agg(F.min(F.struct("differ", "long"))["long"].alias("long"), F.count("*").alias("n"))
+        first = stage(first)
+        done = stage(self._aligned(first.select("short", "long"), first.count()))
+        # a cut is final, an end is not while a copy may go on
+        left = first.groupBy("short").agg(*[F.coalesce(F.max(F.when(c, F.col("n") > 1)), F.lit(False)).alias(k) for k, c in (("cuts", F.col("cut")), ("ends", ~F.col("cut")))])
+        left = left.join(done.groupBy("short").agg(F.max(F.col("v") == "cut").alias("is_cut")), "short", "left")
+        left = left.where("(is_cut is null and (cuts or ends)) or (not is_cut and cuts)").select("short", "is_cut")
+        left = stage(left)
+        n = left.count()
+        if n:
+            rest = candidates(asks.join(broadcast_if_small(left, n), "short", "left_semi")).join(broadcast_if_small(left, n), "short").where("cut or is_cut is null")
+            rest = stage(rest.select("short", "long").distinct().join(first.select("short", "long"), ["short", "long"], "left_anti"))
+            done = done.unionByName(self._aligned(rest, rest.count()))
+        found = done.join(each.select("exact", "body", F.col("e_id").alias("short")), "short").groupBy("body", "exact").agg(F.max(F.col("v") == "cut").alias("copy_cut"))
+        return self.docs.select("id", "body", "exact").join(found, ["body", "exact"]).select("id", "copy_cut")
+
+    def _aligned(self, pairs: DataFrame, n: int) -> DataFrame:
+        """(short, v) of the n pairs (short, long) that are near-copies. Only the texts of pairs travel; the pairs go to the texts as long as they are few."""
+        ids = pairs.select(F.explode(F.array("short", "long")).alias("t_id")).distinct()
+        texts = stage(self.texts.join(broadcast_if_small(ids, 2 * n), F.col("id") == F.col("t_id"), "left_semi"))
+        short = texts.join(broadcast_if_small(pairs, n), F.col("id") == F.col("short")).select("short", "long", F.col("x").alias("a"))
+        long = texts.select(F.col("id").alias("long"), F.col("x").alias("b"))
 
         @F.pandas_udf("string")
         def align(a, b):
@@ -249,43 +316,55 @@ class Truncation:
 
             return pd.Series([aligned_end(p, q) for p, q in zip(a, b)])
 
-        found = short.join(long, "long").select("body", align("a", "b").alias("v")).where("v <> ''").groupBy("body").agg(F.max((F.col("v") == "cut")).alias("copy_cut"))
-        return self.docs.select("id", "body").join(found, "body").select("id", "copy_cut")
+        return short.join(long, "long").select("short", align("a", "b").alias("v")).where("v <> ''")
 
     def _anchors(self, rows: DataFrame) -> DataFrame:
-        """(band, tail, before, next, goes_on, own, id, body): of an asking text the five words before its last one, the fifteen before these, and that one; of an answering one all that can be its
-        copy's end in the bucket, and whether the line goes on."""
-        names = ["id", "body", "band", "tail", "before", "next", "goes_on", "own"]
-        schema = f"id {self.id_type.simpleString()}, body long, band long, tail long, before long, next string, goes_on boolean, own boolean"
+        """(id, body, band, tail, next, rest, own, same, size, p0, ...): of an asking text the five words before its last one, that one and the signs after it; of an
+        answering one all that can be its copy's end in the bucket, and how far the line goes on; of both a key of all words up to there, and the number and
+        parities of the shingles before next."""
+        marks = [f"p{i}" for i in range(PARITIES)]
+        names = ["id", "body", "band", "tail", "next", "rest", "own", "same", "size", *marks]
+        schema = f"id {self.id_type.simpleString()}, body long, band long, tail long, next string, rest int, own boolean, same long, size int, " + ", ".join(f"{c} long" for c in marks)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), *[pa.int64()] * PARITIES]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memory: dict[str, int] = {}
             for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
                 if len(memory) > MAX_TOKENS:
                     memory.clear()
-                at, out = [], []
-                for i, (places, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                    start, spans = max(endings.header_end(text), 0), None
-                    words = _WORD.findall(text[start:].lower())
-                    tails = _shingles(_mix(np.fromiter((_code(w, memory) for w in words), np.uint64, len(words)) + _GOLD)).view(np.int64)
-
-                    def before(k: int, tails=tails) -> int:
-                        return hash(tuple(tails[j] for j in range(k - 2 * SHINGLE, max(k - 4 * SHINGLE, 0) - 1, -SHINGLE) if j >= 0))
-
+                exact, texts = b.column(2).to_pylist(), b.column(4).to_pylist()
+                starts = [max(endings.header_end(t), 0) for t in texts]
+                lists = [_WORD.findall(t[i:].lower()) for t, i in zip(texts, starts)]
+                n = np.array([len(x) for x in lists], np.int64)
+                mixed = _mix(np.fromiter((_code(w, memory) for words in lists for w in words), np.uint64, n.sum()) + _GOLD)
+                shingles = _shingles(mixed)
+                tails = shingles.view(np.int64)
+                at, out, ks = [], [], []
+                for i, (places, text, words, first) in enumerate(zip(b.column(3).to_pylist(), texts, lists, (np.cumsum(n) - n).tolist())):
+                    spans = None
                     for p in places:
                         if p["own"]:
+                            k = len(words) - 1
                             at.append(i)
-                            out.append((p["band"], int(tails[len(words) - 1 - SHINGLE]), before(len(words) - 1), words[-1], False, True))
+                            ks.append(first + k)
+                            out.append((p["band"], words[k], _own(text), True))
                         low, high = max(int((SHORTEST << p["level"]) * (1 - SLACK)), SHINGLE), min(int((SHORTEST << (p["level"] + 1)) * (1 + SLACK)), len(words))
-                        here = tails[low - SHINGLE : high - SHINGLE]
-                        for k in (range(len(here)) if p["tails"] is None else np.flatnonzero(np.isin(here, p["tails"])).tolist()):
-                            if spans is None:
-                                spans = [m.end() for m in _WORD.finditer(text, start)]
-                            if len(spans) == len(words):  # else lower case has other words
+                        ends = _among(tails[first + low - SHINGLE : first + max(high, low) - SHINGLE], p["tails"]).tolist()
+                        if ends and spans is None:
+                            spans = [m.end() for m in _WORD.finditer(text, starts[i])]
+                        if ends and len(spans) == len(words):  # else lower case has other words
+                            for k in (low + j for j in ends):
                                 at.append(i)
-                                out.append((p["band"], int(here[k]), before(low + k), words[low + k], _goes_on(text, spans[low + k]), False))
-                cols = list(zip(*out)) or [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+                                ks.append(first + k)
+                                out.append((p["band"], words[k], _rest(text, spans[k]), False))
+                if not at:
+                    continue
+                band, word, rest, own = zip(*out)
+                places = np.array(ks)
+                same, once, size, *odd = _begun(mixed, shingles, n)
+                # where the five words come twice, the text stands for itself
+                key = np.where(once[places], same[places], _mix(np.array(exact, np.int64).view(np.uint64)[at] + places.astype(np.uint64) * _GOLD).view(np.int64))
+                cols = [band, tails[places - SHINGLE], word, rest, own, key, size[places], *(x[places] for x in odd)]
                 take = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
 

@@ -255,6 +255,46 @@ def test_copies_are_found_behind_others_of_a_bucket(spark):
     assert c[2] is True and c[6] is True and not c.get(7)
 
 
+def test_all_answers_of_a_bucket_count(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}x" for i in range(200)]
+
+    def edited(n):
+        words = list(base)
+        for i in rng.choice(160, n, replace=False):
+            words[i] = f"e{rng.integers(1 << 30)}"
+        return " ".join(words)
+
+    others = [(100 + i, edited(9)) for i in range(60)]  # of one bucket, with the same thirty last words, but below 0.8
+    cut = " ".join(base[:190])[:-1]
+    assert not any(truncation.aligned_end(cut, t) for _, t in others)
+    one = edited(1)
+    c = _copies(spark, [*others, (1, cut), (2, one)])
+    assert truncation.aligned_end(cut, one) == "cut" and c[1] is True
+    # texts of the same words but other lines are different answers, wherever their id is
+    lines = " ".join(base[:190]) + "\n" + " ".join(base[190:])
+    short = " ".join(base[:190])
+    assert truncation.aligned_end(short, lines) == "end"
+    for ids in ((1, 2, 3), (3, 2, 1)):
+        c = _copies(spark, list(zip(ids, (lines, short, " ".join(base)))))
+        assert c == {2: True}
+
+
+def test_sets_differ_at_least_by_their_parities():
+    rng = np.random.default_rng(5)
+    texts = [[f"w{i}" for i in rng.integers(0, m, 120)] for m in (3, 20, 1000)] + [["a"] * 120, [f"w{i}" for i in range(120)], [f"w{i}" for i in range(100)] + ["b"] * 20]
+    mixed = truncation._mix(np.array([truncation._code(w, {}) for t in texts for w in t], np.uint64))
+    _, once, size, *odd = truncation._begun(mixed, truncation._shingles(mixed), np.full(len(texts), 120))
+    sets = [[{tuple(t[j : j + 5]) for j in range(k - 4)} for k in range(120)] for t in texts]
+    assert size.tolist() == [len(s) for x in sets for s in x] and once[240:360].sum() == 115 and not once[360:480].any()
+    bits = lambda i, k, m, j: sum(((int(p[120 * i + k]) ^ int(p[120 * m + j])) & (1 << 64) - 1).bit_count() for p in odd)
+    for i, x in enumerate(sets):
+        for m, y in enumerate(sets):
+            for k, j in ((119, 119), (119, 60), (6, 5), (80, 119)):
+                d = len(x[k] ^ y[j])
+                assert bits(i, k, m, j) <= d and bits(i, k, m, j) % 2 == d % 2
+
+
 @pytest.mark.parametrize("lost", [0.05, 0.2, 0.4, 0.6])
 def test_planted_copies_are_found_through_judged(spark, lost):
     rng = np.random.default_rng(int(lost * 100))
