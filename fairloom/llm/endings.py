@@ -18,6 +18,7 @@ PLACES, PROSE = "swltbhji", "swl"
 #: A line of at least so many characters (of Japanese: JAPANESE_WRAP) that more text follows is wrapped, unless its last sign ends a sentence.
 WRAP, JAPANESE_WRAP, FEW_WORDS = 45, 20, 6
 _STOPS, _QUOTES = FINAL + ":", (">", "|", "&")
+_MAY_END = frozenset(".!?" + AFTER)
 _QUOTE = re.compile(r"^(?:[>|]\s?|&gt;\s?)+\s*")
 _BULLET = re.compile(r"^(?:[-*•·–+・]|\d{1,3}[.)]|\(?[a-z]\))\s+|^[・•]")
 _BOUNDARY = re.compile(r"boundary=\"?([^\s\";]+)", re.I)
@@ -90,30 +91,45 @@ def plain(line: str) -> str:
 def shape(token: str) -> str:
     """The kind of a token by its last signs: final, closing, comma, sign, or else by its letters."""
     last = token[-1:]
-    if token.rstrip(AFTER)[-1:] in FINAL and token.rstrip(AFTER):
-        return "."
-    if last in AFTER:
-        return ")"
-    if last in ",;:":
-        return last if last == ":" else ","
     if not last.isalnum():
+        if token.rstrip(AFTER)[-1:] in FINAL and token.rstrip(AFTER):
+            return "."
+        if last in AFTER:
+            return ")"
+        if last in ",;:":
+            return last if last == ":" else ","
         return "-"
-    if _DIGIT.search(token):
-        return "0"
-    if "@" in token or "/" in token:
-        return "@"
+    if not token.isalpha():
+        if _DIGIT.search(token):
+            return "0"
+        if "@" in token or "/" in token:
+            return "@"
     return "X" if len(token) > 1 and token.isupper() else "A" if token[0].isupper() else "a"
 
 
+def _bullet(line: str) -> bool:
+    """Whether an item's mark stands before the line; one letter is enough to rule it out in most lines."""
+    c = line[0]
+    return not ("A" <= c <= "Z" or ("a" <= c <= "z" and line[1:2] != ")")) and bool(_BULLET.match(line))
+
+
+def _sentence_end(tokens: list[str]) -> int:
+    """Behind the first token that ends a sentence which another one follows; all tokens: none."""
+    for i, t in enumerate(tokens):
+        if t[-1] in _MAY_END and t.rstrip(AFTER)[-1:] in ".!?" and i + 1 < len(tokens) and not tokens[i + 1][0].islower():
+            return i + 1
+    return len(tokens)
+
+
 def _places(line: str, tokens: list[str], wrapped: bool) -> list[tuple[str, list[str]]]:
     """The line's tokens by their place, in order."""
-    if _BULLET.match(line):
+    if _bullet(line):
         first = "b"
     else:
         first = "w" if wrapped else "t" if ("|" in line or "\t" in line or "   " in line) and _TABLE.search(line) else "h"
     cut = len(tokens)
     if ". " in line or "! " in line or "? " in line:
-        cut = next((i + 1 for i in range(len(tokens) - 1) if tokens[i].rstrip(AFTER)[-1:] in ".!?" and not tokens[i + 1][0].islower()), cut)
+        cut = _sentence_end(tokens)
     rest = [("s", tokens[cut:])] if cut < len(tokens) else []
     if first == "h" and cut > FEW_WORDS:
         return [("h", tokens[:FEW_WORDS]), ("l", tokens[FEW_WORDS:cut]), *rest]
@@ -165,6 +181,7 @@ class Uses:
         """lines of body_lines; ended: a blank line follows them. The very last token and line of a text are left out, they may be cut: only lines count that more text or a blank line follows."""
         last = len(lines) - 1
         got: dict[str, list[str]] = {c: [] for c in PLACES}
+        stops: dict[str, list[str]] = {}
         keys: list[str] = []
         wrapped, above_quoted = False, False
         for i, (raw, line) in enumerate(lines):
@@ -175,13 +192,14 @@ class Uses:
             tokens = line.split()
             short = len(tokens) <= FEW_WORDS and len(line) <= 60
             if not short:
-                keys.append("\n" + line_start(line) + "\n")
+                start = " ".join(tokens[:FEW_WORDS])  # as it stands in the line, unless there are other blanks
+                keys.append("\n" + (start[:61] if len(tokens) > FEW_WORDS and line.startswith(start) else line_start(line)) + "\n")
             elif i < last or ended:
                 keys.append("\n" + line)
             inner = i < last or ended
-            japanese = _japanese(line)
+            japanese = not line.isascii() and _japanese(line)
             if japanese:
-                c = "i" if _BULLET.match(line) else "j"
+                c = "i" if _bullet(line) else "j"
                 got[c] += [line[k : k + 2] for k in range(len(line) - (1 if inner else 2))]
                 c_end, token = c, line[-2:]
             else:
@@ -191,15 +209,17 @@ class Uses:
                     parts[-1][1].pop()
                 for c, ts in parts:
                     got[c] += ts
-            goes_on = _wraps(line, japanese) and i < last and bool(lines[i + 1][1]) and not _BULLET.match(lines[i + 1][1])
+            goes_on = i < last and bool(lines[i + 1][1]) and _wraps(line, japanese) and not _bullet(lines[i + 1][1])
             if inner and (not goes_on or c_end == "t"):
-                self.ends[c_end][token] += 1
+                stops.setdefault(c_end, []).append(token)
                 if raw[-1:] in (" ", "\t"):
                     self.blank[c_end] += 1
             wrapped, above_quoted = goes_on and c_end not in "t", quoted
         for c, ts in got.items():
             if ts:
                 self.by[c].update(ts)
+        for c, ts in stops.items():
+            self.ends[c].update(ts)
         self.lines.update(keys)
 
     def take(self) -> list[tuple[str, int, int, int]]:
@@ -208,10 +228,19 @@ class Uses:
         out: dict[str, list[int]] = {}
         sums: dict[tuple[str, str], list[int]] = {}
         for c, counts in self.by.items():
+            here = {"_": counts.total()} if counts else {}
             for t, n in counts.items():
-                out.setdefault(t, [0, 0, 0])[0] += n
-                for s, k in ((shape(t), n), ("_", n)) if c in "ji" else ((shape(t[:-1] or t), n * (len(t) - 1)), (shape(t), n), ("_", n)):
-                    sums.setdefault((c, s), [0, 0])[0] += k
+                if t in out:
+                    out[t][0] += n
+                else:
+                    out[t] = [n, 0, 0]
+                s = shape(t)
+                here[s] = here.get(s, 0) + n
+                if c not in "ji":
+                    s = shape(t[:-1] or t)
+                    here[s] = here.get(s, 0) + n * (len(t) - 1)
+            for s, k in here.items():
+                sums[c, s] = [k, 0]
         for c, counts in self.ends.items():
             for t, n in counts.items():
                 out.setdefault(t, [0, 0, 0])[1 if c in PROSE else 2] += n

@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -52,8 +54,10 @@ BASE, KNOWN_LINE, KNOWN_PART = 3.0, 2, 0.05
 MAX_TOKENS = 400_000
 #: First letters by which tokens, and lines, meet the closing words and last lines that they may begin with.
 FIRST_OF_TOKEN, FIRST_OF_LINE = 4, 9
-#: Texts read at a time.
-SLICE = 1000
+#: Texts read at a time, and signs whose words are looked for at a time (a longer text alone).
+SLICE, SIGNS = 1000, 500_000
+#: Bytes up to which words are coded many at a time; longer ones, and those with signs beyond ASCII, one by one.
+LONG = 64
 #: Lengths from PILE_FROM on at which a source has PILE_LEAST texts and PILE_TIMES the mean of the PILE_NEAR lengths on both sides are piles.
 PILE_FROM, PILE_LEAST, PILE_TIMES, PILE_NEAR = 100, 6, 5, 25
 _WORD = re.compile(r"\w+")
@@ -73,6 +77,83 @@ def body_words(text: str) -> list[str]:
     return _WORD.findall(text[max(endings.header_end(text), 0) :].lower())
 
 
+@cache
+def _word_signs() -> np.ndarray:
+    """Whether each sign of Unicode is one of a word."""
+    out = np.zeros(0x110000, bool)
+    for m in _WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+@cache
+def _crc_steps(bits: int) -> np.ndarray:
+    """What so many bits do to the state of crc32."""
+    x = np.arange(1 << bits, dtype=np.uint32)
+    for _ in range(bits):
+        x = np.where(x & np.uint32(1), (x >> np.uint32(1)) ^ np.uint32(0xEDB88320), x >> np.uint32(1))
+    return x
+
+
+def _crcs(signs: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """crc32 of the words of size (at most LONG) bytes from start on; signs: all bytes."""
+    order = np.argsort(LONG - size.astype(np.uint16), kind="stable")  # the longest first: those that go on are always the first ones
+    at, size = start[order], size[order]
+    going = len(size) - np.cumsum(np.bincount(size, minlength=LONG + 1))
+    pairs = signs.astype(np.uint16)
+    pairs[:-1] |= pairs[1:] << np.uint16(8)
+    state = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    two, one = _crc_steps(16), _crc_steps(8)
+    for j in range(0, LONG, 2):
+        m = going[j + 1]
+        if not m:
+            break
+        x = state[:m] ^ pairs[at[:m] + j]
+        state[:m] = two[x & np.uint32(0xFFFF)] ^ (x >> np.uint32(16))
+    odd = np.flatnonzero(size & 1)
+    x = state[odd] ^ signs[at[odd] + size[odd] - 1]
+    state[odd] = one[x & np.uint32(0xFF)] ^ (x >> np.uint32(8))
+    out = np.empty(len(at), np.uint64)
+    out[order] = ~state
+    return out
+
+
+def _spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For some texts after the other: all signs of these, a line end behind each; where the words that _WORD finds begin and end there; how many each text has
+    and where it begins."""
+    i = 0
+    while i < len(texts):
+        j, signs = i + 1, len(texts[i])
+        while j < len(texts) and signs + len(texts[j]) < SIGNS:
+            signs += len(texts[j])
+            j += 1
+        code = np.frombuffer(("\n".join(texts[i:j]) + "\n").encode("utf-32-le"), np.uint32)
+        inner = _word_signs()[code]
+        stop = np.cumsum(np.fromiter(map(len, texts[i:j]), np.int64, j - i) + 1)
+        start, end = np.flatnonzero(inner & ~np.concatenate([[False], inner[:-1]])), np.flatnonzero(inner[:-1] & ~inner[1:]) + 1
+        yield code, start, end, np.diff(np.searchsorted(end, stop), prepend=0), np.concatenate([[0], stop[:-1]])
+        i = j
+
+
+def word_codes(texts: list[str], memory: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all words of the texts, one text after the other, and how many each text has; where each word begins and ends in its text."""
+    if len(memory) > MAX_TOKENS:
+        memory.clear()
+    parts = []
+    for code, start, end, n, first in _spans(texts):
+        size = end - start
+        other = np.zeros(len(start), bool)
+        other[np.searchsorted(start, np.flatnonzero((code > 127) & _word_signs()[code]), "right") - 1] = True
+        other |= size > LONG
+        codes, plain = np.empty(len(start), np.uint64), np.flatnonzero(~other)
+        codes[plain] = _crcs(code.astype(np.uint8), start[plain], size[plain])
+        for k in np.flatnonzero(other).tolist():
+            codes[k] = _code(code[start[k] : end[k]].tobytes().decode("utf-32-le"), memory)
+        at = np.repeat(first, n)
+        parts.append((codes, n, start - at, end - at))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+
+
 def levels(n: int) -> int:
     """How many beginnings of n words get a signature: those of SHORTEST, twice as many, ... words."""
     return 0 if n < SHORTEST else (n // SHORTEST).bit_length()
@@ -81,10 +162,11 @@ def levels(n: int) -> int:
 def signatures(texts: list[list[str]], memory: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For word lists: how many levels each has, the band keys of all levels of all texts one after the other, a key of each text's words in order, and one of
     the five words before its last."""
-    if len(memory) > MAX_TOKENS:
-        memory.clear()
-    n = np.array([len(x) for x in texts], np.int64)
-    flat = np.fromiter((_code(w, memory) for words in texts for w in words), np.uint64, n.sum())
+    return _signed(np.array([_code(w, memory) for words in texts for w in words], np.uint64), np.array([len(x) for x in texts], np.int64))
+
+
+def _signed(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """signatures of the texts of n words, whose codes are flat."""
     start = np.cumsum(n) - n
     mixed = _mix(flat + _GOLD)
     order = np.arange(len(flat), dtype=np.uint64) - np.repeat(start, n).astype(np.uint64)
@@ -148,19 +230,22 @@ def _own(text: str) -> int:
 def aligned_end(short: str, long: str) -> str:
     """'cut' if short's end lies inside a word or line of its near-copy long, 'end' if at the end of a line, '' if it is no near-copy of a part or doesn't align."""
     a, start = body_words(short), max(endings.header_end(long), 0)
-    spans = [(m.start(), m.end()) for m in _WORD.finditer(long, start)]
-    b = [long[i:j].lower() for i, j in spans]
+    b = [w.lower() for w in _WORD.findall(long, start)]
     tail = a[-SHINGLE - 1 : -1]
     if len(tail) < SHINGLE or len(b) < len(a):
         return ""
-    at = [i for i in range(len(b) - SHINGLE) if b[i : i + SHINGLE] == tail and b[i + SHINGLE].startswith(a[-1])]
+    at = [i for i, w in enumerate(b[:-SHINGLE]) if w == tail[0] and b[i : i + SHINGLE] == tail and b[i + SHINGLE].startswith(a[-1])]
     if not at:
         return ""
     i = min(at, key=lambda i: (abs(i + SHINGLE + 1 - len(a)), i))
-    sets = [{tuple(x[k : k + SHINGLE]) for k in range(len(x) - SHINGLE + 1)} for x in (a[:-1], b[: i + SHINGLE])]
-    if len(sets[0] & sets[1]) < SIMILAR * len(sets[0] | sets[1]):
+    sets = [set(zip(*(x[k:] for k in range(SHINGLE)))) for x in (a[:-1], b[: i + SHINGLE])]
+    both = len(sets[0] & sets[1])
+    if both < SIMILAR * (len(sets[0]) + len(sets[1]) - both):
         return ""
-    return "cut" if b[i + SHINGLE] != a[-1] or _rest(long, spans[i + SHINGLE][1]) > _own(short) else "end"
+    if b[i + SHINGLE] != a[-1]:
+        return "cut"
+    end = next(islice(_WORD.finditer(long, start), i + SHINGLE, None)).end()
+    return "cut" if _rest(long, end) > _own(short) else "end"
 
 
 def _begun(mixed: np.ndarray, shingles: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -229,7 +314,7 @@ class Truncation:
                 keep = [i for i, t in enumerate(texts) if t and t.strip()]
                 if not keep:
                     continue
-                found, lists = [], []
+                found, bodies = [], []
                 for i in keep:
                     t = texts[i]
                     start, blank = endings.header_end(t), endings.paragraph_ended(t)
@@ -238,10 +323,10 @@ class Truncation:
                     opened, open_ = endings.structure(t, start)
                     end = endings.closing(lines)
                     found.append((opened, open_ or ("blank" if blank or not end[0] else ""), *end, len(t.rstrip("\n")), len(t.rstrip("\n").encode())))
-                    lists.append(_WORD.findall(t[max(start, 0) :].lower()))
+                    bodies.append(t[max(start, 0) :].lower())
                     if len(uses) > MAX_TOKENS:
                         yield counted()
-                depth, keys, body, tail = signatures(lists, memory)
+                depth, keys, body, tail = _signed(*word_codes(bodies, memory)[:2])
                 at = pa.array(keep)
                 cols = [pa.array(list(c), k) for c, k in zip(zip(*found), kinds[2:11])]
                 ends = np.concatenate([[0], np.cumsum(np.minimum(depth, WHOLE) + np.maximum(depth - WHOLE, 0) * BANDS)]).astype(np.int32)
@@ -310,13 +395,12 @@ class Truncation:
         short = texts.join(broadcast_if_small(pairs, n), F.col("id") == F.col("short")).select("short", "long", F.col("x").alias("a"))
         long = texts.select(F.col("id").alias("long"), F.col("x").alias("b"))
 
-        @F.pandas_udf("string")
-        def align(a, b):
-            import pandas as pd
-
-            return pd.Series([aligned_end(p, q) for p, q in zip(a, b)])
+        def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
+                v = [aligned_end(p, q) for p, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.string())], ["short", "v"])
 
-        return short.join(long, "long").select("short", align("a", "b").alias("v")).where("v <> ''")
+        return short.join(long, "long").select("short", "a", "b").mapInArrow(align, f"short {self.id_type.simpleString()}, v string").where("v <> ''")
 
     def _anchors(self, rows: DataFrame) -> DataFrame:
         """(id, body, band, tail, next, rest, own, same, size, p0, ...): of an asking text the five words before its last one, that one and the signs after it; of an
@@ -330,33 +414,31 @@ class Truncation:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             memory: dict[str, int] = {}
             for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
-                if len(memory) > MAX_TOKENS:
-                    memory.clear()
                 exact, texts = b.column(2).to_pylist(), b.column(4).to_pylist()
                 starts = [max(endings.header_end(t), 0) for t in texts]
-                lists = [_WORD.findall(t[i:].lower()) for t, i in zip(texts, starts)]
-                n = np.array([len(x) for x in lists], np.int64)
-                mixed = _mix(np.fromiter((_code(w, memory) for words in lists for w in words), np.uint64, n.sum()) + _GOLD)
+                bodies = [t[i:].lower() for t, i in zip(texts, starts)]
+                codes, n, begin, end = word_codes(bodies, memory)
+                mixed = _mix(codes + _GOLD)
                 shingles = _shingles(mixed)
                 tails = shingles.view(np.int64)
                 at, out, ks = [], [], []
-                for i, (places, text, words, first) in enumerate(zip(b.column(3).to_pylist(), texts, lists, (np.cumsum(n) - n).tolist())):
-                    spans = None
+                for i, (places, text, body, count, first) in enumerate(zip(b.column(3).to_pylist(), texts, bodies, n.tolist(), (np.cumsum(n) - n).tolist())):
+                    ends_at = end[first : first + count] + starts[i]
+                    if len(body) != len(text) - starts[i]:  # lower case has other signs
+                        ends_at = np.array([m.end() for m in _WORD.finditer(text, starts[i])], np.int64)
                     for p in places:
                         if p["own"]:
-                            k = len(words) - 1
+                            k = count - 1
                             at.append(i)
                             ks.append(first + k)
-                            out.append((p["band"], words[k], _own(text), True))
-                        low, high = max(int((SHORTEST << p["level"]) * (1 - SLACK)), SHINGLE), min(int((SHORTEST << (p["level"] + 1)) * (1 + SLACK)), len(words))
-                        ends = _among(tails[first + low - SHINGLE : first + max(high, low) - SHINGLE], p["tails"]).tolist()
-                        if ends and spans is None:
-                            spans = [m.end() for m in _WORD.finditer(text, starts[i])]
-                        if ends and len(spans) == len(words):  # else lower case has other words
-                            for k in (low + j for j in ends):
+                            out.append((p["band"], body[begin[first + k] : end[first + k]], _own(text), True))
+                        low, high = max(int((SHORTEST << p["level"]) * (1 - SLACK)), SHINGLE), min(int((SHORTEST << (p["level"] + 1)) * (1 + SLACK)), count)
+                        ends = _among(tails[first + low - SHINGLE : first + max(high, low) - SHINGLE], p["tails"])
+                        if len(ends) and len(ends_at) == count:  # else lower case has other words
+                            for k in (ends + low).tolist():
                                 at.append(i)
                                 ks.append(first + k)
-                                out.append((p["band"], words[k], _rest(text, spans[k]), False))
+                                out.append((p["band"], body[begin[first + k] : end[first + k]], _rest(text, int(ends_at[k])), False))
                 if not at:
                     continue
                 band, word, rest, own = zip(*out)
@@ -372,14 +454,14 @@ class Truncation:
 
     def _begun(self, words: DataFrame, marks: DataFrame) -> DataFrame:
         """(w, p): uses of the tokens that begin with the closing token w and go on, and lines that begin with the last line w and go on."""
-        line = F.col("w").startswith("\n")
-        first = F.when(line, FIRST_OF_LINE).otherwise(FIRST_OF_TOKEN)
+        first = F.when(F.col("w").startswith("\n"), FIRST_OF_LINE).otherwise(FIRST_OF_TOKEN)
         # only prefixes of a length that a word with the same first letters has; a shorter word is its own first letters
         heads = words.withColumn("first", first).groupBy(F.expr("left(w, first)").alias("h")).agg(F.collect_set(F.length("w")).alias("lengths"))
         heads = broadcast_if_small(heads, words.count())
-        u = self.uses.where((F.length("w") > 1) & ~F.col("w").startswith("\0")).withColumn("first", first)
-        u = u.select("w", "n", F.explode(F.expr("transform(sequence(1, least(length(w) - 1, first)), i -> left(w, i))")).alias("h")).join(heads, "h")
-        u = u.select("n", F.explode(F.expr("transform(filter(lengths, l -> l < length(w)), l -> left(w, l))")).alias("w"))
+        # lengths are exploded, not prefixes: no expression here is one that is interpreted for each row
+        u = self.uses.where((F.length("w") > 1) & ~F.col("w").startswith("\0")).select("w", "n", F.length("w").alias("k"), first.alias("first"))
+        u = u.select("w", "n", "k", F.explode(F.expr("sequence(1, least(k - 1, first))")).alias("i")).withColumn("h", F.expr("left(w, i)")).join(heads, "h")
+        u = u.select("w", "n", "k", F.explode("lengths").alias("l")).where("l < k").select("n", F.expr("left(w, l)").alias("w"))
         return u.join(marks, "w", "left_semi").groupBy("w").agg(F.sum("n").alias("p"))
 
     def _cells(self) -> tuple[DataFrame, float, float]:

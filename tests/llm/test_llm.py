@@ -2,6 +2,7 @@
 
 import base64
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -333,6 +334,29 @@ def test_signatures_find_beginnings():
     assert back[0].tolist() == depth.tolist()[::-1] and set(back[1].tolist()) == set(keys.tolist())
 
 
+def test_codes_are_those_of_the_words(monkeypatch):
+    texts = ["One, two_2 three.", "", "...", "\n", "Été à Zürich — 東京タワー x", "İstanbul ﬁn 9", "a" * 63 + " " + "b" * 64 + " " + "c" * 65 + " " + "d" * 5000, "ab-c" * 100, "end"]
+    for signs in (truncation.SIGNS, 50):  # texts together, and longer ones alone
+        monkeypatch.setattr(truncation, "SIGNS", signs)
+        codes, n, begin, end = truncation.word_codes(texts, {})
+        want = [[(m.group(), m.start(), m.end()) for m in truncation._WORD.finditer(t)] for t in texts]
+        assert n.tolist() == [len(x) for x in want] and list(zip(begin.tolist(), end.tolist())) == [x[1:] for w in want for x in w]
+        assert codes.tolist() == [zlib.crc32(x[0].encode()) for w in want for x in w]
+    assert [len(x) for x in truncation.word_codes([], {})] == [0] * 4
+
+
+def test_longer_tokens_are_counted_without_interpreted_expressions(spark):
+    uses = {w: i + 1 for i, w in enumerate(["a", "ab", "abc", "abcd", "abcde", "abcdef", "b", "bcdx", "\na", "\nab c", "\nab cdefgh", "\nab cdefghi jk\n", "\0xa"])}
+    words = ["a", "abc", "abcd", "abcde", "x", "\na", "\nab cdefg", "\nab cdefgh"]
+    t = truncation.Truncation.__new__(truncation.Truncation)
+    t.uses = spark.createDataFrame(list(uses.items()), "w string, n long")
+    w = spark.createDataFrame([(x,) for x in words], "w string")
+    p = t._begun(w, w)
+    want = {x: sum(n for u, n in uses.items() if u.startswith(x) and u != x) for x in words}
+    assert dict(map(tuple, p.collect())) == {x: n for x, n in want.items() if n}
+    assert "lambda" not in p._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_endings():
     end = lambda t: endings.closing(endings.body_lines(t, endings.header_end(t)))
     assert end("All is well. I will be the") == ("s", "a", "the", "", False) and end("See you.")[:3] == ("h", ".", "you.")
