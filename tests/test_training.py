@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,44 @@ def test_isotonic_in_parts_is_isotonic_at_once(spark):
         assert y == sorted(y)
 
 
+def test_isotonic_of_a_hot_group_takes_no_time_for_pairs_of_scores(spark):
+    n = 60_000
+    df = spark.range(n).select((F.col("id") / n).alias("score"), (F.rand(5) < F.col("id") / n).cast("int").alias("y"), F.lit("hot").alias("g")).persist()
+    began = time.monotonic()
+    got = GroupFairnessCalibrator("isotonic").fit(df).transform(df).toPandas().sort_values("score")
+    assert time.monotonic() - began < 45
+    x, y = got["score"].to_numpy(), got["y"].to_numpy(dtype=float)
+    want = np.concatenate([np.full(int(w), m) for _, _, w, m in pool_adjacent(x, x, np.ones(n), y)])
+    assert np.allclose(got["score_cal"], want, atol=1e-9)
+
+
+def test_isotonic_scores_are_the_same_by_search_and_by_join(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(x), int(rng.random() < x), g) for g in ("a", "b", "\u00e9", "c") for x in rng.random(150)] + [(-1e308, 0, "far"), (1e308, 1, "far")] * 10 + [(-0.0, 0, "zero"), (0.0, 1, "zero"), (5e-324, 1, "zero")] * 10
+    asked = [(float(x), 0, g) for g in ("", "a", "b", "bb", "\u00e9", "zz", "far", "zero", None) for x in (-2.0, -0.0, 0.0, 5e-324, 0.3, 0.6, 2.0, 1e308, -1e308)] + [(None, 0, "a"), (float("nan"), 0, "a"), (float("inf"), 0, "a")]
+    schema = "score double, y int, g string"
+    df, ask = spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema)
+    out = []
+    for bound in (200_000, 40, 7):
+        r = GroupFairnessCalibrator("isotonic", bound=bound).fit(df).transform(ask)
+        assert r.columns == ["score", "y", "g", "score_cal"]
+        out.append(sorted(repr((x["g"], x["score"], None if x["score_cal"] is None else round(x["score_cal"], 9))) for x in r.collect()))
+    assert out[0] == out[1] == out[2] and len(out[0]) == len(asked)
+    r = {(g, x): y for g, x, y in (eval(s, {"nan": None, "inf": float("inf")}) for s in out[0])}
+    for g in ("a", "b", "\u00e9"):
+        k = sorted((x, y) for x, y, h in rows if h == g)
+        x, y = np.array(k).T
+        b = pool_adjacent(x, x, np.ones(len(x)), y)
+        knots = np.array([(e, m) for lo, hi, _, m in b for e in (lo, hi)])
+        for v in (-2.0, 0.3, 0.6, 2.0):
+            assert r[g, v] == pytest.approx(np.interp(v, *knots.T), abs=1e-8)
+    assert r["far", 0.3] == pytest.approx(0.5) and r["far", 2.0] == pytest.approx(0.5) and r["far", 1e308] == 1 and r["far", -1e308] == 0
+    assert r["zero", 0.0] == 0.5 and r["zero", 5e-324] == 1 and r["zero", -2.0] == 0.5
+    assert r["bb", 0.3] == 0.3 and r[None, 0.6] == 0.6 and r["a", None] is None and r["a", float("inf")] == float("inf")
+    none = GroupFairnessCalibrator("isotonic", min_samples=10_000).fit(df).transform(df)
+    assert none.where("score_cal = score").count() == len(rows)
+
+
 def test_models_survive_their_session(spark, data, tmp_path):
     from fairloom.operators.mitigation import DisparateImpactRemover, ProxyDropper, ReweighingTransformer
     from fairloom.pipeline.models import load, save
